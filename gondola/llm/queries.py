@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
-import hashlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.llm import chat, media, packing, token_files
+from gondola.llm import chat, decontam, lm, media, neardup, packing, quality, repeats, secrets, token_files
 from gondola.llm.common import saved, work_dir, write_table
-import uuid
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,12 +40,43 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(stored).mapInArrow(digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
+def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{work_dir(spark)}/tokens-{uuid.uuid4().hex}"
     token_files.write_token_files(_table(spark, sf_dir, "documents"), path)
     return token_files.token_digest(spark, path)
 
 
+def op5_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents that labels.quality marks with 1."""
+    target = _table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lm.cross_entropy_difference(_table(spark, sf_dir, "documents"), target)
+
+
+def op6_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = quality.score_quality(docs, quality.train(docs, _table(spark, sf_dir, "labels")), ["doc_id"])
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(_table(spark, sf_dir, "documents"), digest=True)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = [F.size(F.filter("base_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    return found.select("doc_id", *n, F.sha2(secrets.spans_text(F.col("base_spans")), 256).alias("base_sha256"), secrets.spans_text(F.col("secret_spans")).alias("spans"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = f"{chat.END}{chat.START}assistant ok"
@@ -76,6 +107,7 @@ FROM r GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_media_columns, op4_token_files, op8_chat_format)
+    f.__name__: f
+    for f in (op1_best_fit_packing, op2_media_columns, op3_spaced_seeds, op4_token_files, op5_cross_entropy, op6_bbit_minhash, op7_quality, op8_chat_format, op9_repeats, op10_secrets)
 }
 ORACLES = {"op8_chat_format": _OP8_SQL}

@@ -65,6 +65,7 @@ class WordEncoder:
             if not t:
                 pass
             elif not self.spaced:
+                t = t.encode().lower().decode()  # ASCII letters only; the vocabulary lower-cases all letters anyway
                 head = _UNICODE_SPACE.split(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split()
             elif "  " in t or "\n \n" in t or t.startswith(" \n") or t.endswith("\n ") or any(c in t for c in _ODD_SPACES):
                 head = _SAFE_CUT.split(t)
