@@ -11,10 +11,11 @@ from gondola.params import DEFAULTS, Params
 
 def month_chain(history: DataFrame, month: str | None = None) -> DataFrame:
     """The links (data_date, base_date) from the month's last date back, while the base is in the month; the last link
-    may end in the month before. A gap cuts the chain. month: yyyy-mm, or None for the latest. The set has one row a day, so
-    the recursion is over at most a month's links."""
+    may end in the month before. A gap cuts the chain. month: yyyy-mm, or None for the latest. The links are one row a day,
+    whatever the number of prices, so they become a local table and the recursion walks at most a month of them."""
     spark = history.sparkSession
-    links = history.filter("factor IS NOT NULL").select("data_date", "base_date").distinct()
+    found = history.filter("factor IS NOT NULL").select("data_date", "base_date").distinct()
+    links = spark.createDataFrame(found.collect(), found.schema)
     within = links if month is None else links.filter(F.date_format("data_date", "yyyy-MM") == month)
     limits = within.agg(F.max("data_date").alias("last")).select("last", F.trunc("last", "month").alias("month"))
     return spark.sql(
