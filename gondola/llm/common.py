@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,20 @@ BATCH_ROWS = 1000
 
 U64 = np.uint64
 
+#: What operators keep in a Python worker, as functions that drop it; Spark uses a worker for one operator after another.
+CACHES: list[Callable[[], None]] = []
+_OWNER = ""
+
+
+def take_worker(operator: str) -> None:
+    """Drop what other operators keep in this worker, so that their caches don't add up in an executor's memory."""
+    global _OWNER
+    if operator != _OWNER:
+        for drop in CACHES:
+            drop()
+        gc.collect()
+        _OWNER = operator
+
 
 def work_dir(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; a folder of our own only where it is unset (local tests)."""
@@ -96,6 +111,7 @@ BYTE_VALUE = mix(np.arange(256, dtype=U64) + U64(0x5851F42D4C957F2D))
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
+CACHES.append(_POWERS.clear)
 
 
 def powers(base: int, n: int) -> np.ndarray:

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.common import U64, mix, odd_numbers, prefix_hash, saved, slices, small_batches, span_hash, text_bytes, word_spans
+from gondola.llm.common import U64, mix, odd_numbers, prefix_hash, saved, slices, small_batches, span_hash, take_worker, text_bytes, word_spans
 
 #: Fixed masks over 11 tokens: 1 counts, 0 is ignored, so a hit survives substitutions at ignored places.
 MASKS = ("11101001111", "11011110011", "11110010111", "10111101101")
@@ -83,14 +83,15 @@ def _filter_bits(item_seeds: DataFrame) -> np.ndarray:
     """A bitmap of the leading bits of all benchmark seeds; 2**FILTER_BITS bits however many seeds there are."""
     word = F.shiftrightunsigned("seed", 64 - FILTER_BITS + 5)
     bit = F.shiftrightunsigned("seed", 64 - FILTER_BITS).bitwiseAND(F.lit(31)).cast("int")
-    rows = item_seeds.select(word.alias("w"), bit.alias("b")).selectExpr("w", "shiftleft(1L, b) AS v").groupBy("w").agg(F.expr("bit_or(v)").alias("v")).toPandas()
+    rows = item_seeds.select(word.alias("w"), bit.alias("b")).selectExpr("w", "shiftleft(1L, b) AS v").groupBy("w").agg(F.expr("bit_or(v)").alias("v")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    out[rows["w"].to_numpy(np.int64)] = rows["v"].to_numpy(np.int64).astype(np.uint32)
+    out[rows["w"].to_numpy()] = rows["v"].to_numpy().astype(np.uint32)
     return out
 
 
 def _doc_seeds(masks: list[tuple[int, str]], bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("decontam")
         table = bits.value
         for b in batches:
             offsets, _ = text_bytes(b.column("text"))

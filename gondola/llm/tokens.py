@@ -8,6 +8,8 @@ from array import array
 
 import public_tokenizers
 
+from gondola.llm.common import CACHES
+
 #: Word entries that a worker keeps; beyond them it starts anew.
 CACHE_WORDS = 1_000_000
 END_ID = 2
@@ -17,6 +19,7 @@ _ODD_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join
 _SAFE_CUT = re.compile(r"(?<=\S)(?= )|(?<=\s)(?= \S)")
 _UNICODE_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ENCODERS: dict[str, WordEncoder] = {}
+CACHES.append(_ENCODERS.clear)
 
 
 class WordEncoder:
