@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.common import INVERSE, U64, WHITE, odd_numbers, powers, prefix_hash, slices, small_batches, text_bytes, word_spans
+from gondola.llm.common import INVERSE, SLICE_BYTES, U64, WHITE, odd_numbers, powers, prefix_hash, slices, small_batches, take_worker, text_bytes, word_spans
 
 #: Rows of the embedding table, its width, and the lengths of character n-grams (in bytes, with the blank on either side).
 TABLE_BITS, WIDTH = 18, 16
@@ -45,11 +45,12 @@ def feature_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    take_worker("quality")
     for b in batches:
         offsets, data = text_bytes(b.column("text"))
         for k in range(len(b)):
             row, n = np.unique(feature_ids(data[offsets[k] : offsets[k + 1]], np.array([0, offsets[k + 1] - offsets[k]]))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(k, 1), b.column("quality").slice(k, 1), pa.array([row], pa.list_(pa.int32())), pa.array([n], pa.list_(pa.int32()))], names=["doc_id", "quality", "rows", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(k, 1), b.column("quality").slice(k, 1), pa.array([row], pa.list_(pa.int32())), pa.array([np.minimum(n, 32767)], pa.list_(pa.int16()))], names=["doc_id", "quality", "rows", "counts"])
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -97,18 +98,24 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Quali
     marks = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
-    bags = rows.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(_bags, "doc_id long, quality int, rows array<int>, counts array<int>").toPandas()
-    bags = bags.sort_values("doc_id", kind="stable")
-    return QualityModel.fit([(np.asarray(r, np.int64), np.asarray(c, np.int64), int(q)) for r, c, q in zip(bags["rows"], bags["counts"], bags["quality"], strict=True)])
+    rows = rows.select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
+    table = rows.mapInArrow(_bags, "doc_id long, quality int, rows array<int>, counts array<short>").toArrow().sort_by("doc_id").combine_chunks()
+    if not len(table):
+        return QualityModel.fit([])
+    feature, count = (table[c].chunk(0) for c in ("rows", "counts"))
+    limits = np.asarray(feature.offsets)
+    feature, count = np.asarray(feature.values), np.asarray(count.values)
+    return QualityModel.fit([(feature[x:y], count[x:y], int(q)) for x, y, q in zip(limits[:-1], limits[1:], table["quality"].to_pylist(), strict=True)])
 
 
 def _score(model, extra: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("quality")
         table, bias = model.value
         for b in batches:
             offsets, data = text_bytes(b.column("text"))
             score = np.empty(len(b))
-            for a, e in slices(offsets):
+            for a, e in slices(offsets, SLICE_BYTES // 4):
                 rows, of = feature_ids(data[offsets[a] : offsets[e]], offsets[a : e + 1] - offsets[a])
                 n = np.bincount(of, minlength=e - a)
                 z = np.bincount(of, weights=table[rows], minlength=e - a) / np.maximum(n, 1) + bias
