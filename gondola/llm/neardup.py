@@ -9,23 +9,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.common import U64, mix, odd_numbers, saved, shingle_sets, slices, small_batches, text_bytes
+from gondola.llm.common import U64, mix, odd_numbers, saved, shingle_sets, slices, small_batches, take_worker, text_bytes
 
 #: Two documents with 75 % of their shingles in common miss all bands with probability (1 - 0.75**4)**32 < 6e-6.
 BANDS, ROWS = 32, 4
-HASHES = BANDS * ROWS
-#: Bits kept of each minimum; 16 of them fill a long.
-BITS = 4
+#: Minima that a candidate's signature holds, bits kept of each, and how many fill a long.
+HASHES, BITS = 512, 4
 PER_LONG = 64 // BITS
 PERCENT = 75
-#: A pair goes on to its full sets unless its estimate lies five standard deviations (0.038 each) under the threshold.
-MARGIN = 0.19
+#: A pair goes on to its full sets unless its estimate lies five standard deviations (0.02 each) under the threshold.
+MARGIN = 0.10
 #: Rounds in which each bucket's members meet one member of another component; then the pairs that are left meet.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 
-_FACTORS, _MASKS = odd_numbers(HASHES, 101), odd_numbers(HASHES, 202)
+_FACTORS, _MASKS = odd_numbers(BANDS * ROWS + HASHES, 101), odd_numbers(BANDS * ROWS + HASHES, 202)
 _BAND_FACTORS = odd_numbers(ROWS, 303)
-_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, signature array<long>, bands array<long>"
+_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+_SETS = "doc_id long, n_shingles long, signature array<long>, shingles array<long>"
 
 
 def _lists(values: np.ndarray) -> pa.ListArray:
@@ -33,11 +33,12 @@ def _lists(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(values).view(np.int64).ravel()))
 
 
-def minima(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The minimum of each hash function over each run of shingle hashes."""
-    out = np.empty((HASHES, len(starts)), U64)
-    for k in range(HASHES):
-        out[k] = np.minimum.reduceat((h ^ _MASKS[k]) * _FACTORS[k], starts)
+def minima(h: np.ndarray, starts: np.ndarray, first: int = BANDS * ROWS, n: int = HASHES) -> np.ndarray:
+    """The minimum of each of n hash functions, from the first on, over each run of shingle hashes. Bands use the functions
+    before those of the signatures, so an estimate doesn't depend on a shared band."""
+    out = np.empty((n, len(starts)), U64)
+    for k in range(n):
+        out[k] = np.minimum.reduceat((h ^ _MASKS[first + k]) * _FACTORS[first + k], starts)
     return out
 
 
@@ -61,6 +62,7 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    take_worker("neardup")
     for batch in batches:
         offsets, data = text_bytes(batch.column("text"))
         ids = batch.column("doc_id")
@@ -69,31 +71,36 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.bincount(of, minlength=b - a)
             some = np.flatnonzero(n)
             set_a, set_b = np.zeros(b - a, U64), np.zeros(b - a, U64)
-            signature, bands = np.zeros((b - a, HASHES // PER_LONG), U64), np.zeros((b - a, BANDS), U64)
+            bands = np.zeros((b - a, BANDS), U64)
             if len(some):
                 starts = (np.cumsum(n) - n)[some]
                 set_a[some], set_b[some] = np.add.reduceat(mix(h + U64(1)), starts), np.add.reduceat(mix(h + U64(2)), starts)
-                least = minima(h, starts)
-                signature[some], bands[some] = pack_bits(least), band_keys(least)
+                bands[some] = band_keys(minima(h, starts, 0, BANDS * ROWS))
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), _lists(signature), _lists(bands)],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "signature", "bands"],
+                [ids.slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), _lists(bands)],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
             )
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Size, fingerprint, packed signature and band keys of each document's shingle set."""
+    """Size, fingerprint and band keys of each document's shingle set."""
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign, _SIGNED)
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    take_worker("neardup")
     for batch in batches:
         offsets, data = text_bytes(batch.column("text"))
         for a, b in slices(offsets):
             h, of = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            limits = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=b - a))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(limits), pa.array(h.view(np.int64)))], names=["doc_id", "shingles"])
+            n = np.bincount(of, minlength=b - a)
+            limits = np.concatenate([[0], np.cumsum(n)])
+            signature, some = np.zeros((b - a, HASHES // PER_LONG), U64), np.flatnonzero(n)
+            if len(some):
+                signature[some] = pack_bits(minima(h, limits[some]))
+            shingles = pa.ListArray.from_arrays(pa.array(limits.astype(np.int32)), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n.astype(np.int64)), _lists(signature), shingles], names=["doc_id", "n_shingles", "signature", "shingles"])
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -133,6 +140,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return saved(star.unionByName(now.select("v", "v").toDF("id", "component").distinct()).groupBy("id").agg(F.min("component").alias("component")), "components")
 
 
+def roots(parents: DataFrame) -> DataFrame:
+    """(id, component) of each id of (id, component), followed to the end by doubling; each id has one smaller parent."""
+    now = parents
+    while True:
+        up = now.select(F.col("id").alias("component"), F.col("component").alias("above"))
+        now = saved(now.join(up, "component", "left").select("id", F.coalesce("above", "component").alias("component"), F.col("above").isNotNull().alias("moved")), "parents")
+        if now.filter("moved").isEmpty():
+            return now.drop("moved")
+        now = now.drop("moved")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document.
 
@@ -146,62 +164,55 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = saved(signatures(docs), "signatures")
     full = signed.filter("n_shingles > 0")
-    classes = full.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"))
+    # Written before it is joined: a set that many documents share then meets plain exchanges, which Spark can split.
+    classes = saved(full.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep")), "classes")
     members = saved(signed.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["n_shingles", "set_a", "set_b"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "signature", "bands").dropDuplicates(["rep"])
+    reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "bands").dropDuplicates(["rep"])
     in_bands = reps.select("rep", F.explode("bands").alias("bucket"))
     shared = in_bands.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high").select("bucket")
     buckets = saved(in_bands.join(shared, "bucket"), "buckets")
     some = buckets.select("rep").distinct()
-    signs = saved(reps.drop("bands").join(some, "rep", "left_semi"), "signs")
-    sets = saved(docs.join(some.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_set_rows, "doc_id long, shingles array<long>"), "sets")
+    sets = saved(docs.join(some.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_set_rows, _SETS), "sets")
     least = percent / 100 - MARGIN
 
     def sized(side: str) -> DataFrame:
-        return signs.select(F.col("rep").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("signature").alias(f"s_{side}"))
+        return sets.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("signature").alias(f"s_{side}"))
 
     def likely() -> Column:
         sizes = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
         return sizes & (estimate(F.col("s_a"), F.col("s_b")) >= least)
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def confirmed(pairs: DataFrame, *keep: str) -> DataFrame:
         """Of pairs (a, b) with their sizes, those linked by their full sets."""
         for side in ("a", "b"):
             pairs = pairs.join(sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"set_{side}")), side)
         common = F.size(F.array_intersect("set_a", "set_b"))
-        return pairs.filter(F.lit(100) * common >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
-
-    links, components = None, None
-
-    def labelled() -> DataFrame:
-        """Buckets that still hold more than one component, with each member's component."""
-        if components is None:
-            return buckets.withColumn("component", F.col("rep"))
+        return pairs.filter(F.lit(100) * common >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - common)).select(*keep)
+
+    # Each class meets the smallest member of its buckets; what is linked points to a smaller class.
+    low = buckets.groupBy("bucket").agg(F.min("rep").alias("hub"))
+    pairs = buckets.join(low, "bucket").filter("rep <> hub").groupBy(F.col("rep").alias("a")).agg(F.min("hub").alias("b"))
+    first = saved(confirmed(pairs.join(sized("a"), "a").join(sized("b"), "b").filter(likely()).drop("s_a", "s_b"), "a", "b"), "links")
+    components = roots(first.toDF("id", "component"))
+    for turn in range(1, HUB_ROUNDS + 1):
+        # Buckets that still hold more than one component, with each member's component.
         now = buckets.join(components.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-        return now.join(mixed, "bucket", "left_semi")
-
-    for turn in range(HUB_ROUNDS + 1):
-        left = saved(labelled(), "buckets")
-        if turn and left.isEmpty():
-            break
+        mixed = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("rep", "component")).alias("hub")).filter("low <> high")
+        left = now.join(mixed.select("bucket", "hub"), "bucket")
         if turn < HUB_ROUNDS:
-            order = F.col("rep") if turn < 2 else F.xxhash64("rep", F.lit(turn))
-            hubs = left.groupBy("bucket").agg(F.min_by(F.struct("rep", "component"), order).alias("hub"))
-            pairs = left.join(hubs, "bucket").filter("component <> hub.component").select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"))
-            pairs = pairs.groupBy("a").agg(F.min("b").alias("b")) if turn == 0 else pairs.distinct()
-            pairs = pairs.join(sized("a"), "a").join(sized("b"), "b").filter(likely()).drop("s_a", "s_b")
+            pairs = left.filter("component <> hub.component").select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"), F.col("component").alias("c_a"), F.col("hub.component").alias("c_b")).groupBy("a", "c_a", "c_b").agg(F.min("b").alias("b"))
+            pairs = pairs.join(sized("a"), "a").join(sized("b"), "b").filter(likely())
         else:
+            left = saved(left.drop("hub"), "buckets")
             sides = [left.select("bucket", F.col("rep").alias(s), F.col("component").alias(f"c_{s}")).join(sized(s), s) for s in ("a", "b")]
-            pairs = sides[0].join(sides[1], "bucket").filter("a < b AND c_a <> c_b").filter(likely()).select("a", "b", "n_a", "n_b").distinct()
-        found = saved(confirmed(pairs), "links")
-        links = found if links is None else links.unionByName(found)
-        if not found.isEmpty():
-            components = connected_components(links)
+            pairs = sides[0].join(sides[1], "bucket").filter("a < b AND c_a <> c_b").filter(likely()).select("a", "b", "c_a", "c_b", "n_a", "n_b").distinct()
+        # Links between components join components; their graph is far smaller than that of the documents.
+        links = saved(confirmed(pairs.drop("s_a", "s_b"), "c_a", "c_b").distinct(), "links")
+        if not links.isEmpty():
+            joined = connected_components(links.toDF("a", "b"))
+            moved = components.join(joined.select(F.col("id").alias("component"), F.col("component").alias("above")), "component", "left").select("id", F.coalesce("above", "component").alias("component"))
+            components = saved(moved.unionByName(joined.join(components.select("id"), "id", "left_anti")), "components")
     out = members
-    if components is not None:
-        out = out.join(components.withColumnRenamed("id", "rep"), "rep", "left")
-    else:
-        out = out.withColumn("component", F.lit(None).cast("long"))
+    out = out.join(components.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("component", "rep")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

@@ -195,9 +195,9 @@ def test_bit_estimates_follow_similarity():
 
 
 def test_estimate_column(spark):
-    a, b = [0x1111, -1] + [0] * 6, [0x1112, -1] + [0] * 6
+    a, b = [0x1111, -1] + [0] * 30, [0x1112, -1] + [0] * 30
     row = spark.createDataFrame([(a, b)], "a array<long>, b array<long>").select(neardup.estimate(F.col("a"), F.col("b")).alias("e")).first()
-    assert row["e"] == pytest.approx((127 / 128 - 1 / 16) / (15 / 16))
+    assert row["e"] == pytest.approx((511 / 512 - 1 / 16) / (15 / 16))
 
 
 def test_components(spark):
