@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +13,15 @@ from pyspark.sql import functions as F
 
 from gondola.llm.common import U64, mix, odd_numbers, prefix_hash, saved, slices, small_batches, span_hash, take_worker, text_bytes, word_spans
 
-#: Fixed masks over 11 tokens: 1 counts, 0 is ignored, so a hit survives substitutions at ignored places.
-MASKS = ("11101001111", "11011110011", "11110010111", "10111101101")
-SPAN = len(MASKS[0])
+#: Fixed masks: 1 counts, 0 is ignored, so a hit survives substitutions at ignored places. Together they lose nothing: a
+#: stretch of 12 or more tokens with 75 % equal holds one of 12, 16 or 20 tokens with at most 3, 4 or 5 changed, and every
+#: choice of the changed places there leaves some mask a window whose counted places are all equal.
+MASKS = ("11101011", "111111", "1101000111", "1100011011", "11010111", "111001011", "110100100011", "101000100111")
 #: A confirmed overlap has at least so many aligned tokens (or all of a shorter item) and this share of equal ones.
 MIN_OVERLAP, MIN_IDENTITY = 12, 0.75
-MISMATCH = -2.0
 #: Bits of the broadcast filter of benchmark hashes: 8 MB at any size of the benchmark.
 FILTER_BITS = 26
+_PROBES = (64 - FILTER_BITS, 64 - 2 * FILTER_BITS)
 
 #: Words are runs of ASCII letters and digits and of bytes beyond ASCII.
 _SEPARATORS = np.array([not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128) for c in range(256)])
@@ -42,11 +44,11 @@ def seeds(h: np.ndarray, limits: np.ndarray, mask: str, number: int) -> tuple[np
         return np.zeros(0, U64), np.zeros(0, np.int64)
     text = np.repeat(np.arange(len(limits) - 1), np.diff(limits))
     at = np.flatnonzero(text[:n] == text[span - 1 : span - 1 + n])
-    out = np.full(len(at), number * 1000 + span, U64)
+    out = np.full(n, number * 1000 + span, U64)
     for k, c in enumerate(mask):
         if c == "1":
-            out += h[at + k] * _PLACE[k % 64]
-    return mix(out), at
+            out += h[k : k + n] * _PLACE[k % 64]
+    return mix(out[at]), at
 
 
 def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,8 +58,22 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _masks(short: list[int]) -> list[tuple[int, str]]:
-    """The masks, and for items shorter than a mask one full mask for each of their lengths (at most SPAN - 1 of them)."""
-    return [*enumerate(MASKS), *((100 + n, "1" * n) for n in short)]
+    """The masks, and for each length of items shorter than MIN_OVERLAP masks over the whole item (at most 16 a length)."""
+    return [*enumerate(MASKS), *((100 * n + k, m) for n in short for k, m in enumerate(item_masks(n)))]
+
+
+def item_masks(n: int) -> list[str]:
+    """Masks over n < MIN_OVERLAP tokens of which one ignores every choice of n // 4 changed places: greedily, each the
+    mask that ignores most of the choices that are left."""
+    changes = n // 4
+    left = set(combinations(range(n), changes))
+    blocks = list(combinations(range(n), max(0, n - min(6, n - changes * (changes + 1) // 2))))
+    out = []
+    while left:
+        best = max(blocks, key=lambda b: sum(c in left for c in combinations(b, changes)))
+        left.difference_update(combinations(best, changes))
+        out.append("".join("0" if k in best else "1" for k in range(n)))
+    return out
 
 
 def _item_seeds(masks: list[tuple[int, str]]):
@@ -71,7 +87,7 @@ def _item_seeds(masks: list[tuple[int, str]]):
             for number, mask in masks:
                 key, at = seeds(h, limits, mask, number)
                 of = np.searchsorted(limits, at, "right") - 1
-                if number >= 100:
+                if number >= len(MASKS):
                     fits = size[of] == len(mask)
                     key, at, of = key[fits], at[fits], of[fits]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(key.view(np.int64)), pa.array(at - limits[of])], names=["item_id", "seed", "item_at"])
@@ -80,10 +96,9 @@ def _item_seeds(masks: list[tuple[int, str]]):
 
 
 def _filter_bits(item_seeds: DataFrame) -> np.ndarray:
-    """A bitmap of the leading bits of all benchmark seeds; 2**FILTER_BITS bits however many seeds there are."""
-    word = F.shiftrightunsigned("seed", 64 - FILTER_BITS + 5)
-    bit = F.shiftrightunsigned("seed", 64 - FILTER_BITS).bitwiseAND(F.lit(31)).cast("int")
-    rows = item_seeds.select(word.alias("w"), bit.alias("b")).selectExpr("w", "shiftleft(1L, b) AS v").groupBy("w").agg(F.expr("bit_or(v)").alias("v")).toArrow()
+    """A bitmap of two runs of bits of all benchmark seeds; 2**FILTER_BITS bits however many seeds there are."""
+    places = F.explode(F.array(*(F.shiftrightunsigned("seed", s).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) for s in _PROBES))).alias("p")
+    rows = item_seeds.select(places).select(F.shiftrightunsigned("p", 5).alias("w"), F.col("p").bitwiseAND(F.lit(31)).cast("int").alias("b")).selectExpr("w", "shiftleft(1L, b) AS v").groupBy("w").agg(F.expr("bit_or(v)").alias("v")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
     out[rows["w"].to_numpy()] = rows["v"].to_numpy().astype(np.uint32)
     return out
@@ -100,8 +115,10 @@ def _doc_seeds(masks: list[tuple[int, str]], bits):
                 h, limits = tokens(b.column("text"), a, e)
                 for number, mask in masks:
                     key, at = seeds(h, limits, mask, number)
-                    lead = (key >> U64(64 - FILTER_BITS)).astype(np.int64)
-                    hit = np.flatnonzero((table[lead >> 5] >> (lead & 31).astype(np.uint32)) & 1)
+                    hit = np.arange(len(key))
+                    for shift in _PROBES:
+                        p = (key[hit] >> U64(shift)).astype(np.int64) & ((1 << FILTER_BITS) - 1)
+                        hit = hit[((table[p >> 5] >> (p & 31).astype(np.uint32)) & 1).astype(bool)]
                     if len(hit):
                         of = np.searchsorted(limits, at[hit], "right") - 1
                         yield pa.RecordBatch.from_arrays([pa.array(ids[a + of]), pa.array(key[hit].view(np.int64)), pa.array(at[hit] - limits[of])], names=["doc_id", "seed", "doc_at"])
@@ -122,14 +139,16 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def best_overlap(equal: np.ndarray) -> tuple[int, int, int]:
-    """The stretch of aligned places with the largest score, 1 for an equal token and MISMATCH for another: first place,
-    length, equal tokens."""
-    total = np.concatenate([[0.0], np.cumsum(np.where(equal, 1.0, MISMATCH))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.argmin(total[: end + 1]))
-    return start, end - start, int(equal[start:end].sum())
+def longest_overlap(equal: np.ndarray, min_identity: float) -> tuple[int, int, int]:
+    """The longest stretch of aligned places of which min_identity are equal: first place, length, equal tokens."""
+    count = np.concatenate([[0], np.cumsum(equal)])
+    level = count - min_identity * np.arange(len(count))
+    # The last place that is no lower than each start is the stretch's farthest end.
+    highest = np.maximum.accumulate(level[::-1])[::-1]
+    length = np.searchsorted(-highest, 1e-9 - level, "right") - 1 - np.arange(len(level))
+    start = int(np.argmax(length))
+    end = start + int(length[start])
+    return start, end - start, int(count[end] - count[start])
 
 
 def _confirm(min_overlap: int, min_identity: float):
@@ -140,8 +159,8 @@ def _confirm(min_overlap: int, min_identity: float):
                 first = max(0, -diagonal)
                 mine, theirs = np.array(segment, np.int64), np.array(words, np.int64)[first:]
                 n = min(len(mine), len(theirs))
-                start, length, same = best_overlap(mine[:n] == theirs[:n])
-                if length >= min(min_overlap, len(words)) and same >= min_identity * length:
+                start, length, same = longest_overlap(mine[:n] == theirs[:n], min_identity)
+                if length >= max(1, min(min_overlap, len(words))):
                     out.append((doc, item, max(0, diagonal) + start, first + start, length, same, len(words)))
             columns = list(zip(*out, strict=True)) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "doc_start", "item_start", "n_tokens", "n_equal", "item_tokens"])
@@ -157,7 +176,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_overlap: int = MIN_O
     letters and digits.
 
     An overlap is a stretch of aligned tokens, at least min_overlap long (or a whole shorter item), of which min_identity
-    are equal, around a place where a masked window is equal. Documents without one have no row; null and empty texts
+    are equal. No such overlap is missed from min_overlap 12 and min_identity 0.75 on; below that only those around a place
+    where a masked window is equal are found. Documents without one have no row; null and empty texts
     match nothing; items without words neither; repeated doc_ids or item_ids count as one; an empty table on either side
     gives an empty result; other columns are left out. Only documents with a hit are read a second time.
     """
@@ -166,7 +186,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_overlap: int = MIN_O
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL").dropDuplicates(["item_id"])
     items = saved(items.mapInArrow(_item_rows, "item_id long, tokens array<long>").filter("size(tokens) > 0"), "items")
-    short = [r["n"] for r in items.select(F.size("tokens").alias("n")).filter(f"n < {SPAN}").distinct().collect()]
+    short = [r["n"] for r in items.select(F.size("tokens").alias("n")).filter(f"n < {MIN_OVERLAP}").distinct().collect()]
     masks = _masks(sorted(short))
     item_seeds = saved(items.mapInArrow(_item_seeds(masks), "item_id long, seed long, item_at long"), "seeds")
     bits = spark.sparkContext.broadcast(_filter_bits(item_seeds))

@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -223,6 +224,59 @@ def test_contaminated(spark, sample):
     assert decontam.contaminated(docs.limit(0), items).count() == 0 and decontam.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_masks_lose_no_stretch():
+    for n, changes in ((12, 3), (16, 4), (20, 5)):
+        windows = [{a + k for k, c in enumerate(m) if c == "1"} for m in decontam.MASKS for a in range(n - len(m) + 1)]
+        assert all(any(not w & set(gone) for w in windows) for gone in combinations(range(n), changes))
+    for n in range(1, decontam.MIN_OVERLAP):
+        own = [{k for k, c in enumerate(m) if c == "1"} for m in decontam.item_masks(n)]
+        assert all(any(not w & set(gone) for w in own) for gone in combinations(range(n), n // 4))
+        assert len(own) <= 16
+
+
+def test_contaminated_finds_changed_words_at_each_place(spark):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.getrandbits(60):x}"
+    items = [[word() for _ in range(n)] for n in (40, 15, *range(1, 12))]
+    texts = []
+
+    def plant(words, gone):
+        passage = [word() if k in gone else w for k, w in enumerate(words)]
+        texts.append([*(word() for _ in range(rng.randint(0, 3))), *passage, *(word() for _ in range(rng.randint(0, 3)))])
+
+    for n in range(12, 21):
+        for changes in range(1, 4):
+            for gone in combinations(range(n), changes):
+                at = rng.randint(0, 40 - n)
+                plant(items[0][at : at + n], gone)
+    for item in items[1:]:
+        for changes in (len(item) // 4, len(item) // 4 + 1):
+            for gone in combinations(range(len(item)), changes):
+                plant(item, gone)
+    for _ in range(1500):
+        n = rng.randint(8, 30)
+        at = rng.randint(0, 40 - n)
+        plant(items[0][at : at + n], {k for k in range(n) if rng.random() < 0.3})
+
+    def overlaps(text, item):
+        least = min(12, len(item))
+        for diagonal in range(least - len(item), len(text) - least + 1):
+            a, b = max(0, diagonal), min(len(text), diagonal + len(item))
+            total = [0]
+            for k in range(a, b):
+                total.append(total[-1] + (text[k] == item[k - diagonal]))
+            if any(total[e] - total[s] >= 0.75 * (e - s) for s in range(b - a) for e in range(s + least, b - a + 1)):
+                return True
+        return False
+
+    item_of = {w: k for k, item in enumerate(items) for w in item}
+    want = {(d, k) for d, t in enumerate(texts) for k in {item_of[w] for w in t if w in item_of} if overlaps(t, items[k])}
+    docs = docs_of(spark, [" ".join(t) for t in texts])
+    found = decontam.contaminated(docs, spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want and len(want) > 5000
+    assert all(r["n_tokens"] >= min(12, r["item_tokens"]) and r["n_equal"] >= 0.75 * r["n_tokens"] for r in found)
+
+
 def plain_lm(texts, chosen):
     """Both models' mean losses of each text, by dictionaries."""
     grams = [Counter(), Counter()]
