@@ -16,8 +16,8 @@ from gondola.llm.tokens import END_ID, encoder
 
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 1024
-#: Pieces that are packed together in a task, and blocks whose underfull sequences are packed anew together.
-BLOCK_PIECES, MERGED_BLOCKS = 4096, 16
+#: Pieces that are packed together in a task, in every round.
+BLOCK_PIECES = 4096
 #: Passes of the local search over a block's underfull sequences.
 SEARCH_PASSES = 30
 
@@ -108,28 +108,33 @@ def swap_search(sizes: np.ndarray, bins: list[list[int]], capacity: int, passes:
         room = capacity - fill
         room[source] = -1
         fuller = fill >= fill[source]
-        for i in own[np.argsort(-size[own], kind="stable")]:
-            ok = np.flatnonzero((room >= size[i]) & (fill + size[i] > fill[source]))
+        values, first, count = np.unique(size[own], return_index=True, return_counts=True)
+        for v, i in zip(values[::-1].tolist(), own[first][::-1].tolist(), strict=True):
+            ok = np.flatnonzero((room >= v) & (fill + v > fill[source]))
             if len(ok):
-                give([int(i)], None, source, int(ok[np.argmin(room[ok])]))
+                give([i], None, source, int(ok[np.argmin(room[ok])]))
                 return True
-        best = (0, None, None)
         there = np.flatnonzero((at != source) & fuller[at] & (room[at] > 0))
         if not len(there):
             return False
-        singles = [[int(i)] for i in own]
-        pairs = [[int(own[x]), int(own[y])] for x in range(min(len(own), 24)) for y in range(x)]
-        for takes in [*singles, *pairs]:
-            d = int(size[takes].sum()) - size[there]
-            ok = (d > 0) & (d <= room[at[there]]) & (fill[at[there]] + d > fill[source])
-            if ok.any():
-                gain = np.where(ok, d, 0)
-                j = int(np.argmax(gain))
-                if gain[j] > best[0]:
-                    best = (int(gain[j]), takes, int(there[j]))
-        if best[1] is None:
+        # One or two items of the source by their sum, and of the others' items of each size the one with most room.
+        x, y = np.triu_indices(len(values))
+        two = (x != y) | (count[x] > 1)
+        x, y = np.concatenate([np.arange(len(values)), x[two]]), np.concatenate([np.full(len(values), -1), y[two]])
+        sums, pick = np.unique(values[x] + np.where(y >= 0, values[y], 0), return_index=True)
+        most = np.zeros(capacity + 1, np.int64)
+        np.maximum.at(most, size[there], room[at[there]])
+        backs = np.flatnonzero(most)
+        k = np.searchsorted(sums, backs + most[backs], "right") - 1
+        gain = np.where(k >= 0, sums[k] - backs, 0)
+        j = int(np.argmax(gain))
+        if gain[j] <= 0:
             return False
-        give(best[1], best[2], source, int(at[best[2]]))
+        v, w = x[pick[k[j]]], y[pick[k[j]]]
+        takes = [int(own[first[v]])] if w < 0 else [int(i) for i in (own[size[own] == values[v]][:2] if v == w else own[first[[v, w]]])]
+        mine = there[size[there] == backs[j]]
+        back = int(mine[np.argmax(room[at[mine]])])
+        give(takes, back, source, int(at[back]))
         return True
 
     for _ in range(passes):
@@ -159,7 +164,7 @@ def _pack_block(capacity: int, turn: int):
         before = np.cumsum(s) - s
         first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
         out = rows.loc[order, ["doc_id", "piece", "start", "length", "ids_crc32"]].reset_index(drop=True)
-        out["sequence_id"] = (int(key[0]) << 32 | turn << 28) + number
+        out["sequence_id"] = (int(key[0]) << 32 | turn << 20) + number
         out["offset"] = before - before[first][number]
         out["room"] = capacity - np.bincount(number, weights=s).astype(np.int64)[number]
         return out
@@ -167,26 +172,48 @@ def _pack_block(capacity: int, turn: int):
     return run
 
 
+def _ranked(pieces: DataFrame) -> DataFrame:
+    """Pieces with `rank`, their place from 0 by falling length: places within sorted parts, plus the parts before."""
+    rows = saved(pieces.orderBy(F.col("length").desc(), "doc_id", "piece", "start", "ids_crc32").withColumn("place", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("place", 33).cast("int")
+    sizes = {r["part"]: r["count"] for r in rows.groupBy(part.alias("part")).count().collect()}
+    before = np.concatenate([[0], np.cumsum([sizes.get(k, 0) for k in range(max(sizes, default=0) + 1)])]).tolist()
+    return rows.withColumn("rank", F.get(F.lit(before), part) + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).drop("place")
+
+
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES) -> DataFrame:
     """Give each piece (doc_id, piece, start, length, ids_crc32) a sequence and its place there.
 
-    Pieces are dealt by hash into blocks of about block_pieces; each is packed best-fit-decreasing and then by swap
-    search. What lies in underfull sequences is packed once more, MERGED_BLOCKS blocks together, while that lowers the
-    number of blocks. Blocks have a bounded size, so memory doesn't depend on the input; each adds at most about one
-    underfull sequence. Equal lengths and repeated rows are packed like any others; an empty table gives an empty one.
+    Pieces are dealt by their rank by length into blocks of block_pieces at most, so that all blocks have much the same
+    lengths; each is packed best-fit-decreasing and then by swap search. What lies in underfull sequences is dealt anew into
+    as many blocks as its pieces fill and packed once more, until a round doesn't lower the number of sequences or one
+    block was left. So a block has a bounded size in every round, whatever the lengths are. Equal lengths and repeated rows
+    are packed like any others; an empty table gives an empty one.
     """
-    pieces = saved(pieces, "pieces")
-    n = pieces.count()
-    blocks = max(1, -(-n // block_pieces))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    key = F.xxhash64("doc_id", "piece", "start")
-    packed = saved(pieces.withColumn("block", F.pmod(key, F.lit(blocks))).groupBy("block").applyInPandas(_pack_block(capacity, 0), _PACKED), "packed")
+
+    def packed_in(rows: DataFrame, blocks: int, turn: int) -> DataFrame:
+        rows = _ranked(rows.select(*columns)) if blocks > 1 else rows.select(*columns, F.lit(0).cast("long").alias("rank"))
+        block = F.pmod(F.col("rank"), F.lit(blocks)).alias("block")
+        return saved(rows.select(*columns, block).groupBy("block").applyInPandas(_pack_block(capacity, turn), _PACKED), "packed")
+
+    def counts(packed: DataFrame) -> tuple[int, int, int]:
+        """All sequences, underfull ones, and pieces in those."""
+        return tuple(packed.select(F.count_if(F.col("offset") == 0), F.count_if((F.col("offset") == 0) & (F.col("room") > 0)), F.count_if(F.col("room") > 0)).first())
+
+    pieces = saved(pieces, "pieces")
+    blocks = max(1, -(-pieces.count() // block_pieces))
+    packed = packed_in(pieces, blocks, 0)
+    _, sequences, left = counts(packed)
     done, turn = [], 0
-    while blocks > 1 and turn < 7:
+    while blocks > 1 and left:
+        turn, blocks = turn + 1, -(-left // block_pieces)
+        again = packed_in(packed.filter("room > 0"), blocks, turn)
+        now, underfull, left = counts(again)
+        if now >= sequences:
+            break
         done.append(packed.filter("room = 0"))
-        turn, blocks = turn + 1, -(-blocks // MERGED_BLOCKS)
-        rest = packed.filter("room > 0").select(*columns).withColumn("block", F.pmod(key, F.lit(blocks)))
-        packed = saved(rest.groupBy("block").applyInPandas(_pack_block(capacity, turn), _PACKED), "packed")
+        packed, sequences = again, underfull
     for part in done:
         packed = packed.unionByName(part)
     return packed.drop("room")

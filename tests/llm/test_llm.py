@@ -109,6 +109,21 @@ def test_blocks_are_merged(spark):
     assert len(bins) <= math.ceil(sum(r[3] for r in rows) / 1024) * 1.02
 
 
+def test_swaps_reach_all_items():
+    sizes = np.array([10] * 24 + [3, 4] + [1017, 5])
+    after = packing.swap_search(sizes, [list(range(26)), [26, 27]], 1024)
+    assert sorted(int(sizes[b].sum()) for b in after) == [245, 1024] and sorted(i for b in after for i in b) == list(range(28))
+
+
+@pytest.mark.parametrize("step", [0, 1])
+def test_blocks_stay_bounded(spark, step):
+    # Pieces that never complete each other: all sequences stay underfull. step 0: repeated rows.
+    rows = [(k * step, 0, 0, 600 + k % 300 * step, 0) for k in range(3000)]
+    out = packing.pack_pieces(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long"), block_pieces=100)
+    assert out.count() == 3000 and out.select("sequence_id").distinct().count() == 3000
+    assert out.groupBy(F.shiftright("sequence_id", 20)).count().agg(F.max("count")).first()[0] <= 100
+
+
 def test_png_round_trip_filters_and_damage():
     rng = np.random.default_rng(2)
     for shape in ((1, 576), (7, 576), (3, 5), (40, 33)):
