@@ -424,6 +424,14 @@ def _baskets(t: Tables) -> DataFrame:
     return t.tiers.select("category", "unit").distinct().crossJoin(tiers).select("basket_id", "category", "tier", "unit", F.lit(100.0).alias("quantity"))
 
 
+def _baskets_at_points(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The three baskets at every supplier's point, with a basket_id of point and tier."""
+    name = F.concat_ws("-", F.col("basket_id"), "tier")
+    specs = _baskets(t).drop("basket_id")
+    points = t.points.crossJoin(F.broadcast(specs.select("tier").distinct()))
+    return t.points.select("basket_id").crossJoin(F.broadcast(specs)).withColumn("basket_id", name), points.withColumn("basket_id", name).drop("tier")
+
+
 def _zones(t: Tables) -> DataFrame:
     ids = t.spark.createDataFrame([("0",), ("1",), ("2",)], "basket_id string")
     return t.stores.filter("locality LIKE '% 1' OR locality LIKE '% 2'").select("locality", "province").distinct().crossJoin(ids)
@@ -443,7 +451,7 @@ FROM (SELECT basket_id, count(*) AS asked FROM (SELECT DISTINCT basket_id, categ
 LEFT JOIN (SELECT basket_id, CAST(round(sum(CAST(cost AS DECIMAL(24,6))), 2) AS DOUBLE) AS total, count(*) AS priced, count(*) FILTER (price_origin = 'provincia') AS from_province FROM {_COSTS} GROUP BY basket_id) USING (basket_id)""",
 )(lambda t: baskets.basket_totals(_baskets(t), baskets.basket_cost(_baskets(t), _zones(t), t.locality_prices)))
 job("k83_basket_by_chain", None)(lambda t: baskets.basket_by_chain(_baskets(t), t.store_prices, catalog.chain_price_levels(t.same), 0.5, 2))
-job("k84_best_store_combinations", None)(lambda t: baskets.best_store_combinations(_baskets(t), t.points.join(_baskets(t).select("basket_id").distinct(), "basket_id", "left_semi"), t.store_prices))
+job("k84_best_store_combinations", None)(lambda t: baskets.best_store_combinations(*_baskets_at_points(t), t.store_prices))
 job("k86_quotable_localities", "SELECT locality, province, count(DISTINCT category) AS categories FROM locality_prices GROUP BY ALL HAVING count(DISTINCT category) >= 2")(lambda t: baskets.quotable_localities(t.locality_prices, 2))
 job("k87_zone_gazetteer", None)(lambda t: baskets.zone_gazetteer(t.on_map, spread_km=30))
 job(
@@ -453,7 +461,7 @@ SELECT point_id, first(name ORDER BY round(km, 9), name) AS zone, round(min(km),
   SELECT p.store_id AS point_id, z.name, sqrt(pow((z.lon - p.lon) * CAST(111 AS DOUBLE) * cos(radians((p.lat + z.lat) / 2)), 2) + pow((z.lat - p.lat) * CAST(111 AS DOUBLE), 2)) AS km
   FROM demo_stores p CROSS JOIN (SELECT locality AS name, min(lat) AS lat, min(lon) AS lon FROM on_map GROUP BY locality) z) WHERE km <= 50 GROUP BY point_id""",
 )(lambda t: baskets.nearest_zone(t.stores.select(F.col("store_id").alias("point_id"), "lat", "lon"), t.on_map.groupBy(F.col("locality").alias("name")).agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"))))
-job("k89_best_option", None)(lambda t: baskets.best_option(baskets.best_store_combinations(_baskets(t), t.points.join(_baskets(t).select("basket_id").distinct(), "basket_id", "left_semi"), t.store_prices)))
+job("k89_best_option", None)(lambda t: baskets.best_option(baskets.best_store_combinations(*_baskets_at_points(t), t.store_prices)))
 
 # Text and joins
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gondola.functions import geo, text
 from gondola.operators import baskets, catalog, checks, dims, index
 from gondola.params import Params
+from gondola.plans import registry
 from gondola.sources import ingest
 
 DAY = date(2026, 11, 11)
@@ -168,6 +169,15 @@ def test_store_combinations_against_all(spark):
         assert [(-p["covered"], p["total"]) for p in got] == exhaustive(stores, wanted, 3)
 
 
+def test_store_combinations_cover_every_point(spark):
+    path = "/root/testdata/sf0.001"
+    t = registry.Tables(spark, path)
+    wanted, points = registry._baskets_at_points(t)
+    assert points.count() == 3 * t.table("supplier").count() == wanted.select("basket_id").distinct().count()
+    got = registry.QUERIES["k84_best_store_combinations"](spark, path)
+    assert got.select(F.substring_index("basket_id", "-", 1)).distinct().count() == t.table("supplier").count()
+
+
 def test_household_baskets(spark):
     base = spark.createDataFrame([("Pan", 6750.0), ("Huevos", 11.0)], "category string, quantity double")
     taxonomy = spark.createDataFrame([("Pan", 6750.0, "g"), ("Huevos", 11.0, "unidad"), ("Snacks", 500.0, "g")], "category string, quantity double, unit string")
