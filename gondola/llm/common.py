@@ -32,6 +32,7 @@ def take_worker(operator: str) -> None:
         for drop in CACHES:
             drop()
         gc.collect()
+        pa.default_memory_pool().release_unused()
         _OWNER = operator
 
 

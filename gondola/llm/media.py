@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.common import small_batches
+from gondola.llm.common import small_batches, take_worker
 
 #: Samples in an image row; payloads are filled with bytes 255 to a positive multiple of it.
 WIDTH = 576
@@ -134,6 +134,7 @@ _READ = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, paylo
 
 def _write(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("media")
         for b in batches:
             raw = [(t or "").encode() for t in b.column("text").to_pylist()]
             media = [encode_png(np.frombuffer(padded(r, width), np.uint8).reshape(-1, width)) for r in raw]
@@ -165,6 +166,7 @@ def read_media(media: DataFrame) -> DataFrame:
     small_batches(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("media")
         for b in batches:
             found = [_read_one(m) for m in b.column("media").to_pylist()]
             columns = list(zip(*found, strict=True)) if found else [[]] * 5

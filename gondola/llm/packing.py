@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.common import saved, small_batches
-from gondola.llm.tokens import END_ID, encoder
+from gondola.llm.common import saved, small_batches, take_worker
+from gondola.llm.tokens import END_ID, encoded
 
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 1024
@@ -24,25 +24,26 @@ SEARCH_PASSES = 30
 
 def _cut(vocabulary: str, end_id: int, capacity: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(vocabulary), end_id.to_bytes(4, "little")
+        take_worker("packing")
         for b in batches:
-            doc, piece, start, length, crc, ids = [], [], [], [], [], []
-            for d, raw in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist()), strict=True):
-                raw += end
-                n = len(raw) // 4
-                a, k = 0, 0
-                while a < n:
-                    e = a + ((n - 1) % capacity + 1 if k == 0 else capacity)
-                    part = raw[4 * a : 4 * e]
-                    doc.append(d), piece.append(k), start.append(a), length.append(e - a), crc.append(zlib.crc32(part))
-                    if keep_ids:
-                        ids.append(np.frombuffer(part, "<i4"))
-                    a, k = e, k + 1
-            columns = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            if keep_ids:
-                columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for a, e, ids, limits in encoded(b, vocabulary, end_id):
+                n = np.diff(limits)
+                pieces = -(-n // capacity)
+                doc = np.repeat(np.arange(e - a), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                first = (n[doc] - 1) % capacity + 1
+                start = np.where(piece > 0, first + (piece - 1) * capacity, 0)
+                length = np.where(piece > 0, capacity, first)
+                at = limits[doc] + start
+                raw = memoryview(ids.astype("<i4", copy=False)).cast("B")
+                crc = [zlib.crc32(raw[4 * x : 4 * (x + k)]) for x, k in zip(at.tolist(), length.tolist(), strict=True)]
+                columns = [b.column("doc_id").slice(a, e - a).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                if keep_ids:
+                    # The pieces of all texts stand one after the other.
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)).astype(np.int32)), pa.array(ids)))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.common import U64, drop_table, mix, prefix_hash, saved, slices, small_batches, span_hash, text_bytes, write_table
+from gondola.llm.common import U64, drop_table, mix, prefix_hash, saved, slices, small_batches, span_hash, take_worker, text_bytes, write_table
 
 #: Length of a repeated string, and of an anchor's string; a window of LENGTH bytes holds REACH + 1 candidate anchors.
 LENGTH, ANCHOR = 200, 72
@@ -58,6 +58,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    take_worker("repeats")
     for b in batches:
         offsets, data = text_bytes(b.column("text"))
         ids, keys = b.column("doc_id"), b.column("text_key")
@@ -72,6 +73,7 @@ def _grow(width: int):
     string that they span (null where it leaves the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("repeats")
         for b in batches:
             offsets, data = text_bytes(b.column("text"))
             lists = b.column("items")
@@ -163,6 +165,7 @@ def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def _cut(digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("repeats")
         for b in batches:
             offsets, data = text_bytes(b.column("text"))
             out = []

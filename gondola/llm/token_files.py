@@ -11,8 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.llm.common import small_batches
-from gondola.llm.tokens import END_ID, encoder
+from gondola.llm.common import small_batches, take_worker
+from gondola.llm.tokens import END_ID, encoded
 
 VOCABULARY = "word_bpe_49k.json"
 #: Row groups of 32 MB and pages of 128 KB: a reader of a few documents touches few pages; page indexes are always written.
@@ -22,24 +22,21 @@ _FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens int, ids array
 
 def _encode(vocabulary: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("token_files")
         part, at = TaskContext.get().partitionId(), 0
-        enc, end = encoder(vocabulary), end_id.to_bytes(4, "little")
         for b in batches:
-            raw = [x + end for x in enc.encode(b.column("text").to_pylist())]
-            n = np.array([len(x) // 4 for x in raw], np.int64)
-            limits = np.concatenate([[0], np.cumsum(n)])
-            values = pa.array(np.frombuffer(b"".join(raw), "<i4"), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("doc_id"),
-                    pa.array(np.full(len(n), part, np.int32)),
-                    pa.array(at + limits[:-1]),
-                    pa.array(n.astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(limits.astype(np.int32)), values),
-                ],
-                names=["doc_id", "part", "local_start", "n_tokens", "ids"],
-            )
-            at += int(limits[-1])
+            for a, e, ids, limits in encoded(b, vocabulary, end_id):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column("doc_id").slice(a, e - a),
+                        pa.array(np.full(e - a, part, np.int32)),
+                        pa.array(at + limits[:-1]),
+                        pa.array(np.diff(limits).astype(np.int32)),
+                        pa.ListArray.from_arrays(pa.array(limits.astype(np.int32)), pa.array(ids)),
+                    ],
+                    names=["doc_id", "part", "local_start", "n_tokens", "ids"],
+                )
+                at += int(limits[-1])
 
     return run
 

@@ -9,13 +9,14 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gondola.llm import chat, decontam, lm, media, neardup, packing, quality, queries, repeats, secrets, token_files
-from gondola.llm.tokens import encoder
+from gondola.llm import chat, decontam, lm, media, neardup, packing, quality, queries, repeats, secrets, token_files, tokens
+from gondola.llm.tokens import encoded
 
 from . import brute
 
@@ -46,12 +47,25 @@ def by_id(df):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_words_encode_as_whole_texts(name, odd_texts):
     plain = Tokenizer.from_file(public_tokenizers.path(name))
-    plain.encode_special_tokens = True
     rng = random.Random(3)
-    bits = ["a", "B", " ", "  ", "\n", " \n", "\t", "é", "1", "\x1c", "!", "'s", "<|endoftext|>", "　", "İ", "ß", "I", "K"]
-    texts = [*(t or "" for t in odd_texts), *("".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(3000))]
-    for t, raw in zip(texts, encoder(name).encode(texts), strict=True):
-        assert np.frombuffer(raw, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+    bits = ["a", "B", " ", "  ", "\n", " \n", "\t", "é", "1", "\x1c", "\x01", "!", ",", "'s", "<", "<|endoftext|>", "<|ENDOFTEXT|>", "\u3000", "\u2003", "\xa0", "\x85", "İ", "ß", "I", "K"]
+    texts = [*(t or "" for t in odd_texts), *("".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(6000))]
+    for k in range(0, len(texts), 50):
+        part = texts[k : k + 50]
+        for a, e, ids, limits in encoded(pa.record_batch([pa.array(part)], names=["text"]), name, 2):
+            for t, x, y in zip(part[a:e], limits[:-1], limits[1:], strict=True):
+                assert ids[x:y].tolist() == [*plain.encode(t, add_special_tokens=False).ids, 2], repr(t)
+
+
+def test_encoder_forgets_what_came_once(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 40)
+    enc, plain = tokens.PieceEncoder("byte_bpe_50k.json"), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for k in range(60):
+        text = " ".join(f"word{k * j}" for j in range(12)) + " again and again" * 3
+        data = np.frombuffer(text.encode(), np.uint8)
+        ids, limits = enc.encode(data, np.array([0, len(data)]))
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids and limits.tolist() == [0, len(ids)]
+    assert len(enc.known) < 80 and b" again" in enc.known
 
 
 def test_pieces_and_packing(spark, odd_texts):
