@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0088
-#: A cell is at least 50 km high and wide: half a degree of latitude, one of longitude down to 63 degrees.
-CELL_LAT, CELL_LON = 0.5, 1.0
+#: Kilometres of a degree of latitude, and of a degree of longitude at 63 degrees; radius joins hold up to that latitude.
+DEGREE_LAT, DEGREE_LON = 110.0, 49.9
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -24,9 +24,9 @@ def planar_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 
 
 def within_km(points: DataFrame, places: DataFrame, km: float, point=("lat", "lon"), place=("place_lat", "place_lon"), distance=planar_km) -> DataFrame:
-    """Pairs of points and places at most km (up to 50) apart, with distance_km. An equi-join on grid cells: each place is
-    copied to its cell and the eight around it, so no point meets all places."""
-    cell = lambda lat, lon: (F.floor(lat / CELL_LAT), F.floor(lon / CELL_LON))
+    """Pairs of points and places at most km apart, with distance_km. An equi-join on grid cells that are just as high and
+    wide as the radius: each place is copied to its cell and the eight around it, so a point meets only places nearby."""
+    cell = lambda lat, lon: (F.floor(lat * (DEGREE_LAT / km)), F.floor(lon * (DEGREE_LON / km)))
     py, px = cell(F.col(point[0]), F.col(point[1]))
     qy, qx = cell(F.col(place[0]), F.col(place[1]))
     around = F.array(*(F.lit(d) for d in (-1, 0, 1)))

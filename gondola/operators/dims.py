@@ -113,10 +113,3 @@ def map_stores(stores: DataFrame, companies: DataFrame) -> DataFrame:
     """K7: stores with coordinates, keyed company-store, with chain and format."""
     rows = stores.filter("lat IS NOT NULL AND lon IS NOT NULL").join(companies.select("company_id", "banner_id", "chain", "format"), ["company_id", "banner_id"], "left")
     return rows.select(F.concat_ws("-", "company_id", "store_id").alias("store_key"), "chain", F.coalesce("format", F.lit("supermercado")).alias("format"), "name", "street", "number", "neighbourhood", "locality", "province", "lat", "lon")
-
-
-def most_frequent(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """The most frequent value of a column per group, the smallest of several."""
-    counts = rows.groupBy(*keys, column).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*keys).orderBy(F.col("n").desc(), column)
-    return counts.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gondola.functions.stats import geometric_mean, group_limits, lower_median, median
@@ -127,23 +127,55 @@ def carried_prices(product_chain: DataFrame, date, p: Params = DEFAULTS) -> Data
     return recent.join(F.broadcast(latest), ["chain", "price_date"]).withColumn("data_date", day)
 
 
-def assessed_prices(product_chain: DataFrame, date, p: Params = DEFAULTS) -> DataFrame:
-    """Carried prices with the market reference, in_range and credible."""
+def _middle(values: Column) -> Column:
+    """The mean of the two middle values of an array; null without values."""
+    ordered = F.array_sort(values)
+    at = lambda i: F.get(ordered, F.floor(i).cast("int"))
+    return at((F.size(ordered) - 1) / 2) * 0.5 + at(F.size(ordered) / 2) * 0.5
+
+
+def _assessed(product_chain: DataFrame, date, p: Params = DEFAULTS) -> DataFrame:
+    """One row a product: data_date, the market reference, and `offers`, its chains' carried prices with in_range and credible
+    (J9, A18). A product has at most as many offers as there are chains, so one aggregation by product holds all that its
+    comparison needs."""
+    fields = ["chain", "company_id", "format", "price_date", "median_price", "min_price", "max_price", "stores", "qty", "unit"]
     rows = carried_prices(product_chain, date, p)
-    company = rows.groupBy("product_id", "company_id").agg(median("median_price").alias("company_price"))
-    market = company.groupBy("product_id").agg(F.count("*").alias("n"), median("company_price").alias("middle")).select("product_id", F.when(F.col("n") >= p.min_reference_companies, F.col("middle")).alias("reference"))
-    rows = rows.join(market, "product_id").withColumn("in_range", F.coalesce(F.col("median_price").between(F.col("reference") * p.credible_low, F.col("reference") * p.credible_high), F.lit(True)))
-    doubted = rows.filter("NOT in_range").select("product_id", F.col("chain").alias("own"), F.col("company_id").alias("own_company"), F.col("median_price").alias("own_price"))
-    near = F.abs(F.col("median_price") - F.col("own_price")) <= F.col("own_price") * p.agreement_tolerance
-    agree = doubted.join(rows, "product_id").filter(near & (F.col("chain") != F.col("own"))).groupBy("product_id", F.col("own").alias("chain")).agg(F.bool_or((F.col("company_id") != F.col("own_company")) | F.col("in_range")).alias("confirmed"))
-    return rows.join(agree, ["product_id", "chain"], "left").withColumn("credible", F.col("in_range") | F.coalesce("confirmed", F.lit(False))).drop("confirmed")
+    by_product = rows.groupBy("product_id").agg(F.min("data_date").alias("data_date"), F.collect_list(F.struct(*fields)).alias("offers"))
+    prices_of = lambda c: F.transform(F.filter("offers", lambda o: o["company_id"].eqNullSafe(c)), lambda o: o["median_price"])
+    companies = F.transform(F.array_distinct(F.transform("offers", lambda o: o["company_id"])), lambda c: _middle(prices_of(c)))
+    market = by_product.withColumn("by_company", companies).withColumn("reference", F.when(F.size("by_company") >= p.min_reference_companies, _middle(F.col("by_company"))))
+
+    def with_range(o: Column) -> Column:
+        inside = o["median_price"].between(F.col("reference") * p.credible_low, F.col("reference") * p.credible_high)
+        return F.struct(*(o[c].alias(c) for c in fields), F.coalesce(inside, F.lit(True)).alias("in_range"))
+
+    ranged = market.withColumn("offers", F.transform("offers", with_range))
+
+    def confirmed(a: Column) -> Column:
+        agrees = lambda o: (o["chain"] != a["chain"]) & (F.abs(o["median_price"] - a["median_price"]) <= a["median_price"] * p.agreement_tolerance) & ((o["company_id"] != a["company_id"]) | o["in_range"])
+        return F.coalesce(F.exists("offers", agrees), F.lit(False))
+
+    credible = F.transform("offers", lambda a: a.withField("credible", a["in_range"] | confirmed(a)))
+    return ranged.select("data_date", "product_id", "reference", credible.alias("offers"))
+
+
+def assessed_prices(product_chain: DataFrame, date, p: Params = DEFAULTS) -> DataFrame:
+    """Carried prices with the market reference, in_range and credible."""
+    return _assessed(product_chain, date, p).select("data_date", "product_id", F.explode("offers").alias("o"), "reference").select("data_date", "product_id", "o.*", "reference")
+
+
+def _size_vote(offers: Column) -> Column:
+    """The package size (qty, unit) that most companies, then most stores, report; measures before counts."""
+    said = F.filter(offers, lambda o: o["qty"].isNotNull() & o["unit"].isNotNull())
 
+    def ranked(size: Column) -> Column:
+        mine = F.filter(said, lambda o: (o["qty"] == size["qty"]) & (o["unit"] == size["unit"]))
+        by = F.size(F.array_distinct(F.transform(mine, lambda o: o["company_id"])))
+        in_stores = F.aggregate(mine, F.lit(0).cast("long"), lambda n, o: n + o["stores"])
+        return F.struct((size["unit"] == "unidad").alias("counted"), (-by).alias("by"), (-in_stores).alias("in_stores"), size["qty"].alias("qty"), size["unit"].alias("unit"))
 
-def size_votes(rows: DataFrame) -> DataFrame:
-    """The package size that most companies, then most stores, report; measures before counts."""
-    said = rows.filter("qty IS NOT NULL AND unit IS NOT NULL").groupBy("product_id", "qty", "unit").agg(F.countDistinct("company_id").alias("by"), F.sum("stores").alias("in_stores"))
-    order = F.struct((F.col("unit") == "unidad").cast("int"), -F.col("by"), -F.col("in_stores"), "qty", "unit")
-    return said.groupBy("product_id").agg(F.min_by(F.struct("qty", "unit"), order).alias("size")).select("product_id", "size.qty", "size.unit")
+    sizes = F.array_distinct(F.transform(said, lambda o: F.struct(o["qty"].alias("qty"), o["unit"].alias("unit"))))
+    return F.array_min(F.transform(sizes, ranked))
 
 
 def product_names(raw: DataFrame, product_ids: DataFrame, date) -> DataFrame:
@@ -162,16 +194,21 @@ def product_names(raw: DataFrame, product_ids: DataFrame, date) -> DataFrame:
 def same_product(product_chain: DataFrame, categories: DataFrame, raw: DataFrame | None, date, p: Params = DEFAULTS) -> DataFrame:
     """A product in every chain on a date: credible prices, the lowest and highest of them, size, name. raw: rows with
     product_id, company_id, description, brand and data_date; without it names come from the categories."""
-    rows = assessed_prices(product_chain, date, p)
-    credible = lambda c: F.when(F.col("credible"), F.col(c))
-    per_product = rows.groupBy("product_id").agg(F.count("*").alias("chains"), F.min(credible("median_price")).alias("lowest"), F.max(credible("median_price")).alias("highest"), F.countDistinct(credible("company_id")).alias("companies"), F.count_if(~F.col("credible")).alias("chains_discarded"))
+    trusted = F.filter("offers", lambda o: o["credible"])
+    paid = F.transform(trusted, lambda o: o["median_price"])
+    per_product = _assessed(product_chain, date, p).select(
+        "*", _size_vote(F.col("offers")).alias("size"), F.size("offers").cast("long").alias("chains"), F.array_min(paid).alias("lowest"), F.array_max(paid).alias("highest"),
+        F.size(F.array_distinct(F.transform(trusted, lambda o: o["company_id"]))).cast("long").alias("companies"), (F.size("offers") - F.size(trusted)).cast("long").alias("chains_discarded"),
+    )
     per_product = per_product.filter(F.col("chains") - F.col("chains_discarded") >= 2)
     cats = categories.select("product_id", "category", "section", F.col("description").alias("cat_description"), F.col("brand").alias("cat_brand"))
-    out = rows.drop("qty", "unit").join(per_product, "product_id").join(cats, "product_id").join(size_votes(rows), "product_id", "left")
+    out = per_product.join(cats, "product_id")
     if raw is None:
         out = out.select("*", *(F.lit(None).cast("string").alias(c) for c in ("description", "brand", "search_text")))
     else:
         out = out.join(product_names(raw, per_product, date), "product_id", "left")
+    offer = ("chain", "company_id", "format", "price_date", "median_price", "min_price", "max_price", "stores", "in_range", "credible")
+    out = out.withColumn("o", F.explode("offers")).drop("offers").select("*", F.col("size.qty").alias("qty"), F.col("size.unit").alias("unit"), *(F.col(f"o.{c}").alias(c) for c in offer))
     text = F.lower(F.concat("cat_description", F.lit(" "), F.coalesce("cat_brand", F.lit(""))))
     return out.select(
         "data_date", "price_date", "product_id", F.coalesce("description", "cat_description").alias("description"), F.coalesce("brand", "cat_brand").alias("brand"), F.coalesce("search_text", text).alias("search_text"),

@@ -16,6 +16,7 @@ from gondola.params import Params
 from gondola.plans.demo import LAST_DAY, view
 from gondola.plans.sqltwins import twin
 from gondola.sources import ingest
+from gondola.sources.work import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,9 +51,11 @@ JOBS: dict[str, Callable[[Tables], DataFrame]] = {
     "pairs": _day_pairs,
     "factors": lambda t: prices.paired_price_index(t.unit_prices, t.pairs),
     "mart": lambda t: prices.chain_category_mart(t.levels, t.factors),
-    "history": lambda t: t.mart.persist(),
+    "history": lambda t: written(t.mart, "history"),
     "wins": lambda t: prices.who_wins(t.product_chain, t.categories),
-    "same": lambda t: prices.same_product(t.product_chain, t.categories, None, LAST_DAY),
+    "same_rows": lambda t: prices.same_product(t.product_chain, t.categories, None, LAST_DAY),
+    # Most jobs read the same-product table several times, in branches that differ too much for Spark to share.
+    "same": lambda t: written(t.same_rows, "same"),
     "locality_prices": lambda t: prices.category_locality_prices(t.prices, t.categories, t.tiers, t.stores, t.chains, LAST_DAY),
     "store_prices": lambda t: prices.category_store_prices(t.prices, t.categories, t.tiers, t.stores, t.chains, LAST_DAY),
     "evidence": lambda t: promos.promo_evidence(t.promos, LAST_DAY),
@@ -108,7 +111,7 @@ job(
     "k18_same_product",
     "SELECT * REPLACE (round(reference, 6) AS reference) FROM same_product",
     rounded=("reference",),
-)(lambda t: t.same)
+)(lambda t: t.same_rows)
 job(
     "k19_product_names",
     f"""
@@ -262,14 +265,14 @@ SELECT point_id, product_id, chain, promo_price, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY point_id, product_id, chain ORDER BY promo_price, round(km, 1), store_key, promo) AS best FROM {_NEAR} WHERE n = 1) WHERE best = 1)
 LEFT JOIN (SELECT product_id, min(median_price) AS z FROM same_product WHERE credible GROUP BY product_id) USING (product_id) WHERE rank <= 3 AND (z IS NULL OR promo_price < z)""",
     "point_id, product_id, chain, promo_price, rank",
-)(lambda t: promos.worthwhile_promos(promos.promos_near(t.promos_mapped, t.on_map, _requests(t), "2024-01-19"), t.same.filter("credible").groupBy("product_id").agg(F.min("median_price").alias("zone_price")).crossJoin(_requests(t).select("point_id").distinct())))
+)(lambda t: promos.worthwhile_promos(promos.promos_near(t.promos_mapped, t.on_map, _requests(t), "2024-01-19"), t.same.filter("credible").groupBy("product_id").agg(F.min("median_price").alias("zone_price")).withColumn("point_id", F.explode(F.sequence(F.lit(0), F.lit(4))))))
 job("k38_list_total_with_promos", None)(lambda t: promos.list_total_with_promos(t.lists, t.same, t.promos_mapped, t.on_map, t.lists.select("list_id").distinct().select("list_id", F.lit(-34.55).alias("lat"), F.lit(-58.35).alias("lon")), "2024-01-10"))
 
 # Index
 
 _PERIOD = "(SELECT min(base_date) AS s, max(data_date) AS e, count(*) AS n FROM (SELECT DISTINCT data_date, base_date FROM mart WHERE factor IS NOT NULL))"
 _LOOSE = Params(min_market_companies=2)
-# The history is read several times by each of these jobs; persisted, its shuffles run once.
+# The history is read several times by each of these jobs; written, its shuffles run once.
 
 job("k50_month_chain", f"SELECT DISTINCT data_date, base_date, s AS period_start, e AS period_end, n AS expected_links, DATE '2024-01-01' AS month, s < DATE '2024-01-01' AS from_month_start FROM mart, {_PERIOD} WHERE factor IS NOT NULL")(lambda t: index.month_chain(t.history, "2024-01"))
 job(
@@ -420,8 +423,8 @@ SELECT list_id, zone_id, chain, total, priced, priced = n AS complete FROM (
 
 def _baskets(t: Tables) -> DataFrame:
     """One basket per customer nation of tier: every category and unit in the tier."""
-    tiers = t.spark.createDataFrame([(str(k), tier) for k, tier in enumerate(("economico", "medio", "premium"))], "basket_id string, tier string")
-    return t.tiers.select("category", "unit").distinct().crossJoin(tiers).select("basket_id", "category", "tier", "unit", F.lit(100.0).alias("quantity"))
+    tiers = F.array(*(F.struct(F.lit(str(k)).alias("basket_id"), F.lit(tier).alias("tier")) for k, tier in enumerate(("economico", "medio", "premium"))))
+    return t.tiers.select("category", "unit").distinct().withColumn("b", F.explode(tiers)).select("b.basket_id", "category", "b.tier", "unit", F.lit(100.0).alias("quantity"))
 
 
 def _baskets_at_points(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -433,8 +436,7 @@ def _baskets_at_points(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 def _zones(t: Tables) -> DataFrame:
-    ids = t.spark.createDataFrame([("0",), ("1",), ("2",)], "basket_id string")
-    return t.stores.filter("locality LIKE '% 1' OR locality LIKE '% 2'").select("locality", "province").distinct().crossJoin(ids)
+    return t.stores.filter("locality LIKE '% 1' OR locality LIKE '% 2'").select("locality", "province").distinct().withColumn("basket_id", F.explode(F.array(*map(F.lit, "012"))))
 
 
 _LEVEL = "(SELECT {on}, category, tier, unit, sum(median_unit_price * samples) / sum(samples) AS p, CAST(sum(samples) AS BIGINT) AS n FROM locality_prices JOIN (SELECT DISTINCT {where} FROM demo_stores WHERE locality LIKE '% 1' OR locality LIKE '% 2') USING ({where}) GROUP BY ALL)"
@@ -476,9 +478,9 @@ FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) * CASE WHEN p_partkey % 2 = 0 THE
 job("f5_fold_accents", "SELECT doc_id, strip_accents(lower(text)) AS folded FROM documents")(lambda t: t.table("documents").select("doc_id", text.fold(F.col("text")).alias("folded")))
 job(
     "f17_haversine",
-    "SELECT a.store_id AS a, b.store_id AS b, round(2 * CAST(6371.0088 AS DOUBLE) * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))), 6) AS km FROM demo_stores a JOIN demo_stores b ON a.company_id = b.company_id",
+    "SELECT a.store_id AS a, b.store_id AS b, round(2 * CAST(6371.0088 AS DOUBLE) * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))), 6) AS km FROM demo_stores a JOIN demo_stores b ON CAST(a.store_id AS INTEGER) + 7 = CAST(b.store_id AS INTEGER)",
     rounded=("km",),
-)(lambda t: t.stores.select("company_id", F.col("store_id").alias("a"), "lat", "lon").join(t.stores.select("company_id", F.col("store_id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")), "company_id").select("a", "b", haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")).alias("km")))
+)(lambda t: t.stores.select((F.col("store_id").cast("int") + 7).alias("next"), F.col("store_id").alias("a"), "lat", "lon").join(t.stores.select(F.col("store_id").cast("int").alias("next"), F.col("store_id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")), "next").select("a", "b", haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")).alias("km")))
 
 # Dates and tables
 

@@ -235,6 +235,15 @@ def test_gazetteer(spark):
     assert {(r["query_id"], r["zone"]) for r in hit} == {("q", "Palermo"), ("r", "San Juan")}
 
 
+def test_gazetteer_centre_moves_with_aliases(spark):
+    """The third place lies near the centre of the first two together, and near neither of their own."""
+    spots = [("1", "Villa Loma Norte", 0.0), ("2", "Villa Loma Norte", 0.0), ("3", "Villa Loma", 1.8), ("4", "Villa Loma", 1.8), ("5", "Loma", 2.7)]
+    rows = [(k, "Dia", "supermercado", "n", "s", "1", None, name, "AR-B", km / 111.0, 0.0) for k, name, km in spots]
+    stores = spark.createDataFrame(rows, "store_key string, chain string, format string, name string, street string, number string, neighbourhood string, locality string, province string, lat double, lon double")
+    z = baskets.zone_gazetteer(stores).collect()
+    assert [(r["name"], sorted(r["aliases"]), r["stores"]) for r in z] == [("Villa Loma", ["Loma", "Villa Loma Norte"], 5)]
+
+
 def test_snapshot_diff(spark):
     now = spark.createDataFrame([("1", "a", None), ("2", "b", "x"), ("3", "c", "z")], "k string, name string, v string")
     was = spark.createDataFrame([("1", "a", None), ("2", "b", "y"), ("4", "d", "z")], "k string, name string, v string")
