@@ -19,13 +19,15 @@ PER_LONG = 64 // BITS
 PERCENT = 75
 #: A pair goes on to its full sets unless its estimate lies five standard deviations (0.02 each) under the threshold.
 MARGIN = 0.10
+#: Bits of a set's bitmap, one for each value of 12 bits of a shingle's hash; it bounds what two sets can share.
+BITMAP_BITS = 4096
 #: Rounds in which each bucket's members meet one member of another component; then the pairs that are left meet.
 HUB_ROUNDS = 2
 
 _FACTORS, _MASKS = odd_numbers(BANDS * ROWS + HASHES, 101), odd_numbers(BANDS * ROWS + HASHES, 202)
 _BAND_FACTORS = odd_numbers(ROWS, 303)
 _SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
-_SETS = "doc_id long, n_shingles long, signature array<long>, shingles array<long>"
+_SETS = "doc_id long, n_shingles long, signature array<long>, bitmap array<long>, shingles array<long>"
 
 
 def _lists(values: np.ndarray) -> pa.ListArray:
@@ -100,7 +102,21 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(some):
                 signature[some] = pack_bits(minima(h, limits[some]))
             shingles = pa.ListArray.from_arrays(pa.array(limits.astype(np.int32)), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n.astype(np.int64)), _lists(signature), shingles], names=["doc_id", "n_shingles", "signature", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n.astype(np.int64)), _lists(signature), _lists(bitmaps(h, of, b - a)), shingles], names=["doc_id", "n_shingles", "signature", "bitmap", "shingles"])
+
+
+def bitmaps(h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """For each of n sets of hashes h (of: each one's set) the bits that its hashes set, as longs."""
+    set_bits = np.zeros((n, BITMAP_BITS), bool)
+    set_bits[of, (mix(h + U64(3)) & U64(BITMAP_BITS - 1)).astype(np.int64)] = True
+    return np.packbits(set_bits, axis=1, bitorder="little").view(U64)
+
+
+def most_common(a: Column, n_a: Column, b: Column, n_b: Column) -> Column:
+    """The most that two sets can share, from their bitmaps and sizes: each bit that only one of them sets stands for at
+    least one member that the other lacks. Never less than what they do share."""
+    alone = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda n, k: n + k)
+    return F.least(n_a - alone(a, b), n_b - alone(b, a))
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -158,7 +174,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     words has none and is linked with nothing. Linked are documents with 100 * intersection >= percent * union, confirmed
     on full sets; a component has the smallest doc_id that its links reach. Documents of equal sets form a class that its
     smallest doc_id stands for. In each band a bucket's members first meet one member (the smallest, then others), so a
-    large group becomes one component without its pairs; only pairs of different components in a bucket meet at last.
+    large group becomes one component without its pairs; only pairs of different components in a bucket meet at last, and
+    what estimates and bitmaps refute of them isn't written.
     Null texts count as empty; repeated doc_ids stay; an empty table gives an empty one; other columns are left out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -175,13 +192,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = saved(docs.join(some.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_set_rows, _SETS), "sets")
     least = percent / 100 - MARGIN
 
-    def sized(side: str) -> DataFrame:
-        return sets.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("signature").alias(f"s_{side}"))
+    def sized(side: str, *more: str) -> DataFrame:
+        return sets.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("signature").alias(f"s_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in more))
 
     def likely() -> Column:
         sizes = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
         return sizes & (estimate(F.col("s_a"), F.col("s_b")) >= least)
 
+    def possible() -> Column:
+        most = most_common(F.col("bitmap_a"), F.col("n_a"), F.col("bitmap_b"), F.col("n_b"))
+        return F.lit(100) * most >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - most)
+
     def confirmed(pairs: DataFrame, *keep: str) -> DataFrame:
         """Of pairs (a, b) with their sizes, those linked by their full sets."""
         for side in ("a", "b"):
@@ -204,8 +225,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             pairs = pairs.join(sized("a"), "a").join(sized("b"), "b").filter(likely())
         else:
             left = saved(left.drop("hub"), "buckets")
-            sides = [left.select("bucket", F.col("rep").alias(s), F.col("component").alias(f"c_{s}")).join(sized(s), s) for s in ("a", "b")]
-            pairs = sides[0].join(sides[1], "bucket").filter("a < b AND c_a <> c_b").filter(likely()).select("a", "b", "c_a", "c_b", "n_a", "n_b").distinct()
+            sides = [left.select("bucket", F.col("rep").alias(s), F.col("component").alias(f"c_{s}")).join(sized(s, "bitmap"), s) for s in ("a", "b")]
+            # Refuted here, by estimates and then by bitmaps, a group's pairs never leave the join.
+            pairs = sides[0].join(sides[1], "bucket").filter(F.expr("a < b AND c_a <> c_b") & likely() & possible()).select("a", "b", "c_a", "c_b", "n_a", "n_b").distinct()
         # Links between components join components; their graph is far smaller than that of the documents.
         links = saved(confirmed(pairs.drop("s_a", "s_b"), "c_a", "c_b").distinct(), "links")
         if not links.isEmpty():

@@ -453,3 +453,15 @@ def test_pipeline(spark, sample):
     assert len(corpus_pipeline.STAGES) == 5
     empty = corpus_pipeline.keep_uncontaminated(spark, corpus_pipeline.keep_one_copy(spark, docs.limit(0), SF), SF)
     assert corpus_pipeline.pack(spark, corpus_pipeline.redact_secrets(spark, empty, SF), SF).count() == 0
+
+
+def test_bitmaps_bound_what_sets_share(spark):
+    rng, rows = np.random.default_rng(4), []
+    for k in range(40):
+        base = rng.integers(0, 1 << 63, int(rng.integers(1, 3000)), dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([base[: int(len(base) * share)], rng.integers(0, 1 << 63, 20, dtype=np.uint64)])) for share in (1.0, rng.random()))
+        bits = neardup.bitmaps(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2).view(np.int64).tolist()
+        rows.append((k, bits[0], len(a), bits[1], len(b), len(np.intersect1d(a, b))))
+    out = spark.createDataFrame(rows, "k int, a array<long>, n_a int, b array<long>, n_b int, common int").withColumn("most", neardup.most_common(F.col("a"), F.col("n_a"), F.col("b"), F.col("n_b"))).collect()
+    assert all(r["most"] >= r["common"] for r in out)
+    assert all(r["most"] <= r["common"] + 0.1 * (r["n_a"] + r["n_b"] - 2 * r["common"]) + 3 for r in out if r["n_a"] < 300)
