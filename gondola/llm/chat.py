@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gondola.llm.arrays import running
+
 START, END, ESCAPED = "<|im_start|>", "<|im_end|>", "<|escaped|>"
 
 
@@ -67,16 +69,15 @@ def format_chat(turns: DataFrame) -> DataFrame:
     out = F.transform("t", lambda x: F.struct(F.when(F.col("same"), x["out"]).otherwise(x["escaped"]).alias("out"), (x["marked"] | ~F.col("same")).alias("marked"), (x["role"] == "assistant").alias("loss")))
     whole = whole.select("conv_id", out.alias("t")).withColumn("formatted", F.array_join(F.transform("t", lambda x: x["out"]), ""))
     # Ends of the turns in code points, then the text's own range: after the header, before the end mark and newline.
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,escaped:boolean,loss:boolean>>").alias("spans"))
+    ends = running(F.transform("t", lambda x: F.length(x["out"])))
 
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x["out"])
-        start = acc["at"] + F.length(F.substring_index(x["out"], "\n", 1)) + F.lit(1)
-        span = F.struct(start.alias("start"), (end - F.lit(len(END) + 1)).alias("end"), x["marked"].alias("escaped"), x["loss"].alias("loss"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def span(x: Column) -> Column:
+        turn, end = x["x"], x["end"]
+        start = end - F.length(turn["out"]) + F.length(F.substring_index(turn["out"], "\n", 1)) + F.lit(1)
+        return F.struct(start.alias("start"), (end - F.lit(len(END) + 1)).alias("end"), turn["marked"].alias("escaped"))
 
-    spans = F.aggregate("t", empty, step, lambda acc: F.filter(acc["spans"], lambda s: s["loss"]))
-    return whole.select("conv_id", "formatted", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["escaped"].alias("escaped"))).alias("loss_spans"))
+    spans = F.transform(F.filter(F.arrays_zip(F.col("t").alias("x"), ends.alias("end")), lambda x: x["x"]["loss"]), span)
+    return whole.select("conv_id", "formatted", spans.alias("loss_spans"))
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:

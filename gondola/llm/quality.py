@@ -50,7 +50,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets, data = text_bytes(b.column("text"))
         for k in range(len(b)):
             row, n = np.unique(feature_ids(data[offsets[k] : offsets[k + 1]], np.array([0, offsets[k + 1] - offsets[k]]))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(k, 1), b.column("quality").slice(k, 1), pa.array([row], pa.list_(pa.int32())), pa.array([np.minimum(n, 32767)], pa.list_(pa.int16()))], names=["doc_id", "quality", "rows", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(k, 1), b.column("quality").slice(k, 1), pa.array([row], pa.list_(pa.int32())), pa.array([n], pa.list_(pa.int32()))], names=["doc_id", "quality", "rows", "counts"])
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -99,13 +99,17 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Quali
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
     rows = rows.select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
-    table = rows.mapInArrow(_bags, "doc_id long, quality int, rows array<int>, counts array<short>").toArrow().sort_by("doc_id").combine_chunks()
-    if not len(table):
-        return QualityModel.fit([])
-    feature, count = (table[c].chunk(0) for c in ("rows", "counts"))
-    limits = np.asarray(feature.offsets)
-    feature, count = np.asarray(feature.values), np.asarray(count.values)
-    return QualityModel.fit([(feature[x:y], count[x:y], int(q)) for x, y, q in zip(limits[:-1], limits[1:], table["quality"].to_pylist(), strict=True)])
+    table = rows.mapInArrow(_bags, "doc_id long, quality int, rows array<int>, counts array<int>").toArrow()
+    # Bags are views into the fetched batches, in the order of doc_id.
+    bags = []
+    for b in table.to_batches():
+        limits, feature, count = (np.asarray(x) for x in (b.column("rows").offsets, b.column("rows").values, b.column("counts").values))
+        bags += [(d, int(q), feature[x:y], count[x:y]) for d, q, x, y in zip(b.column("doc_id").to_pylist(), b.column("quality").to_pylist(), limits[:-1], limits[1:], strict=True)]
+    bags.sort(key=lambda bag: bag[0])
+    model = QualityModel.fit([(feature, count, label) for _, label, feature, count in bags])
+    del table, bags
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _score(model, extra: list[str]):

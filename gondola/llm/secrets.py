@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gondola.llm.arrays import let, running
+
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A maximal run that reaches the least length starts where the run starts, so asking for that length finds the same runs.
@@ -17,11 +19,12 @@ ACCESS_LONG, HEX_LONG = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 MIN_ASSIGN = 6
 
 #: Candidates of the Markov models, their characters, and the least log-likelihood ratio of a random string.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+MIN_CANDIDATE = 16
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{MIN_CANDIDATE},}}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 MIN_RATIO = 15.0
-#: At most so many labelled words train the models; as many random strings of the same number of characters go with them.
-TRAINING_WORDS = 20_000
+#: At most so many labelled words, of at most so many documents, train the models; three random strings go with each word.
+TRAINING_WORDS, TRAINING_DOCS = 20_000, 2_000
 SMOOTHING = 0.5
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -31,23 +34,18 @@ def _no_spans() -> Column:
     return F.array().cast(_SPANS)
 
 
-def _spans(text: Column, pattern: str, kind: int, lengths: Column | None = None, least: int = 0) -> Column:
-    """All matches of a pattern from left to right; what lies between them gives their places. lengths: filters matches."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    each = F.arrays_zip(found.alias("m"), between.alias("b"), *([] if lengths is None else [lengths.alias("n")]))
-    start = F.struct(F.lit(0).alias("at"), _no_spans().alias("spans"))
+def _spans(text: Column, pattern: str, kind: int, groups: Column | None = None, least: int = 0) -> Column:
+    """All matches of a pattern from left to right; the lengths of matches and of what lies between them give their places.
+    groups: of each match the text that must have at least `least` characters."""
+    between = F.transform(F.split(text, pattern, -1), F.length)
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["b"])
-        end = begin + F.coalesce(F.length(x["m"]), F.lit(0))
-        keep = x["m"].isNotNull()
-        if lengths is not None:
-            keep = keep & (F.length(x["n"]) >= least)
-        one = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
+    def placed(found: Column) -> Column:
+        steps = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.length(m) + b)
+        return F.transform(F.arrays_zip(found.alias("m"), running(steps).alias("e")), lambda x: F.struct((x["e"] - F.length(x["m"])).alias("start"), F.lit(kind).alias("kind"), x["e"].alias("end")))
 
-    spans = F.aggregate(each, start, step, lambda acc: acc["spans"])
+    spans = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+    if groups is not None:
+        spans = F.transform(F.filter(F.arrays_zip(spans.alias("s"), groups.alias("g")), lambda x: F.length(x["g"]) >= least), lambda x: x["s"])
     return F.when(text.rlike(pattern), spans).otherwise(_no_spans())
 
 
@@ -57,12 +55,12 @@ def base_spans(text: Column) -> Column:
     return F.concat(assigned, _spans(text, ACCESS_LONG, 1), _spans(text, HEX_LONG, 2))
 
 
-def labelled_strings(docs: DataFrame, words: int = TRAINING_WORDS) -> DataFrame:
+def labelled_strings(docs: DataFrame, words: int = TRAINING_WORDS, documents: int = TRAINING_DOCS) -> DataFrame:
     """(string, random): ordinary words of the corpus, and random strings that digests of the same words spell in base
-    64, hexadecimal and capitals. The words are those with the smallest hashes among the distinct words of at most 2000
-    documents, chosen by hash too; that bounds the training at every size."""
+    64, hexadecimal and capitals. The words are those with the smallest hashes among the distinct words of at most so
+    many documents, chosen by hash too; both bounds are parameters, and they bound the training at every size."""
     some = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    chosen = docs.select(F.col("doc_id").alias("chosen")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2000)
+    chosen = docs.select(F.col("doc_id").alias("chosen")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
     word = F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z_][A-Za-z_-]{4,}"), F.lit(0))).alias("string")
     ordinary = some.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen"), "left_semi").select(word).distinct().orderBy(F.xxhash64("string"), "string").limit(words)
     digest = F.unhex(F.sha2("string", 256))
@@ -103,14 +101,21 @@ def ratio(string: Column, model: list[float]) -> Column:
 
 
 def random_spans(text: Column, base: Column, model: list[float], least: float = MIN_RATIO) -> Column:
-    """Candidates that the models call random and that no base span touches."""
+    """What no base span covers of the candidates, where that is long enough and the models call it random."""
     found = _spans(text, CANDIDATE, 3)
 
+    def free(s: Column) -> Column:
+        """The candidate's parts between the base spans that touch it: from the k-th end to the next start, both in order."""
+        inside = F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        begins = F.concat(F.array(s["start"]), F.array_sort(F.transform(inside, lambda b: b["end"])))
+        ends = F.concat(F.array_sort(F.transform(inside, lambda b: b["start"])), F.array(s["end"]))
+        parts = F.zip_with(begins, ends, lambda a, e: F.struct(a.alias("start"), F.lit(3).alias("kind"), e.alias("end")))
+        return F.filter(parts, lambda p: p["end"] - p["start"] >= MIN_CANDIDATE)
+
     def keep(s: Column) -> Column:
-        free = ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return free & (ratio(F.substring(text, s["start"] + F.lit(1), s["end"] - s["start"]), model) >= least)
+        return ratio(F.substring(text, s["start"] + F.lit(1), s["end"] - s["start"]), model) >= least
 
-    return F.filter(found, keep)
+    return F.filter(F.flatten(F.transform(found, free)), keep)
 
 
 def scan_secrets(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
@@ -133,12 +138,12 @@ def spans_text(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each span, or run of overlapping spans, replaced by the mark."""
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each span, or run of overlapping spans, replaced by the mark; spans are ordered by start."""
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + F.lit(1), F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, more).otherwise(acc["out"]).alias("out"))
+    def cut(reach: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), F.slice(reach, F.lit(1), F.size(reach) - 1))
+        fresh = F.filter(F.arrays_zip(spans.alias("s"), before.alias("at")), lambda x: x["s"]["start"] >= x["at"])
+        pieces = F.transform(fresh, lambda x: F.concat(F.substring(text, x["at"] + F.lit(1), x["s"]["start"] - x["at"]), F.lit(mark)))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(reach, -1) + F.lit(1), F.length(text)))
 
-    return F.aggregate(spans, first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + F.lit(1), F.length(text))))
+    return F.when(F.size(spans) > 0, let(running(F.transform(spans, lambda s: s["end"]), F.greatest), cut)).otherwise(text)

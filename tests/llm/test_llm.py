@@ -1,8 +1,11 @@
 """The corpus operators against plain versions, exact round trips and edge cases."""
 
+import base64
 import hashlib
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gondola.llm import chat, decontam, lm, media, neardup, packing, quality, queries, repeats, secrets, token_files, tokens
+from gondola.llm import arrays, chat, decontam, lm, media, neardup, packing, quality, queries, repeats, secrets, token_files, tokens
 from gondola.llm.tokens import encoded
 
 from . import brute
@@ -465,3 +468,44 @@ def test_bitmaps_bound_what_sets_share(spark):
     out = spark.createDataFrame(rows, "k int, a array<long>, n_a int, b array<long>, n_b int, common int").withColumn("most", neardup.most_common(F.col("a"), F.col("n_a"), F.col("b"), F.col("n_b"))).collect()
     assert all(r["most"] >= r["common"] for r in out)
     assert all(r["most"] <= r["common"] + 0.1 * (r["n_a"] + r["n_b"] - 2 * r["common"]) + 3 for r in out if r["n_a"] < 300)
+
+
+def test_running_values(spark):
+    rng = random.Random(2)
+    rows = [[rng.randint(0, 9) for _ in range(n)] for n in (0, 1, 63, 64, 65, 128, 4095, 4096, 4097, 9000)]
+    out = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, v array<int>").select("k", arrays.running(F.col("v")).alias("s"), arrays.running(F.col("v"), F.greatest).alias("m")).collect()
+    for r in out:
+        assert r["s"] == np.cumsum(rows[r["k"]]).tolist() and r["m"] == (np.maximum.accumulate(rows[r["k"]]).tolist() if rows[r["k"]] else [])
+
+
+def test_many_secrets_in_one_text(spark):
+    """16,000 matches in one text: places by plain regular expressions, in time that grows with the text."""
+    text = "token=abcdef12 é word " * 16_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    at = time.perf_counter()
+    row = secrets.scan_secrets(docs, [0.0] * len(secrets.ALPHABET) ** 2).select("base_spans", secrets.redact(F.col("text"), F.col("secret_spans")).alias("clean")).first()
+    assert time.perf_counter() - at < 30
+    assert [(s["start"], s["end"]) for s in row["base_spans"]] == [m.span() for m in re.finditer(r"token=abcdef12", text)]
+    assert row["clean"] == "[SECRET] é word " * 16_000
+
+
+def test_redaction_of_overlaps(spark):
+    spans = "array<struct<start:int,kind:int,end:int>>"
+    rows = [("abcdefghij", [(1, 0, 4), (2, 1, 3), (3, 2, 6), (6, 0, 7)]), ("abc", []), ("abc", [(0, 0, 3)])]
+    out = spark.createDataFrame(rows, f"t string, s {spans}").select(secrets.redact(F.col("t"), F.col("s"), "#").alias("c")).collect()
+    assert [r["c"] for r in out] == ["a##hij", "abc", "#"]
+
+
+def test_random_parts_beside_base_spans(spark):
+    """Keys outside the fixed patterns, and the tail of a run whose head a fixed pattern takes; held-out words stay."""
+    model = secrets.train(secrets.labelled_strings(spark.read.parquet(f"{SF}/documents.parquet"), 3000, 100))
+    keys = [base64.b64encode(hashlib.sha256(b"k%d" % k).digest()).decode()[:24] for k in range(40)]
+    head = hashlib.sha256(b"h").hexdigest()[:30]
+    later = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id > 300").select("text").limit(50).collect()
+    words = sorted({w for r in later for w in re.findall(r"[A-Za-z_-]{16,}", r["text"] or "")})
+    texts = [f"see {k} here" for k in keys] + [f"id {head}-{keys[0]}"] + [f"a {w} b" for w in words]
+    found = by_id(secrets.scan_secrets(docs_of(spark, texts), model).select("doc_id", "secret_spans"))
+    spans = lambda k: [(s["kind"], s["start"], s["end"]) for s in found[k]["secret_spans"]]
+    assert sum(spans(k) == [(3, 4, 28)] for k in range(40)) >= 38
+    assert spans(40) == [(2, 3, 33), (3, 33, 58)]
+    assert sum(bool(spans(k)) for k in range(41, len(texts))) <= 0.01 * len(words)
