@@ -224,10 +224,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             pairs = left.filter("component <> hub.component").select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"), F.col("component").alias("c_a"), F.col("hub.component").alias("c_b")).groupBy("a", "c_a", "c_b").agg(F.min("b").alias("b"))
             pairs = pairs.join(sized("a"), "a").join(sized("b"), "b").filter(likely())
         else:
+            # Members of a bucket's largest component don't meet each other; all others meet the whole bucket.
             left = saved(left.drop("hub"), "buckets")
-            sides = [left.select("bucket", F.col("rep").alias(s), F.col("component").alias(f"c_{s}")).join(sized(s, "bitmap"), s) for s in ("a", "b")]
+            largest = left.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"))
+            left = saved(left.join(largest, "bucket").select("bucket", "rep", "component", (F.col("component") != F.col("most.component")).alias("minor")), "buckets")
+            sides = [left.select("bucket", "minor", F.col("rep").alias(s), F.col("component").alias(f"c_{s}")).join(sized(s, "bitmap"), s) for s in ("a", "b")]
             # Refuted here, by estimates and then by bitmaps, a group's pairs never leave the join.
-            pairs = sides[0].join(sides[1], "bucket").filter(F.expr("a < b AND c_a <> c_b") & likely() & possible()).select("a", "b", "c_a", "c_b", "n_a", "n_b").distinct()
+            met = sides[0].filter("minor").drop("minor").join(sides[1], "bucket").filter(F.expr("c_a <> c_b AND (NOT minor OR a < b)"))
+            pairs = met.filter(likely() & possible()).select("a", "b", "c_a", "c_b", "n_a", "n_b").distinct()
         # Links between components join components; their graph is far smaller than that of the documents.
         links = saved(confirmed(pairs.drop("s_a", "s_b"), "c_a", "c_b").distinct(), "links")
         if not links.isEmpty():
