@@ -28,6 +28,11 @@ def product(column: str) -> Column:
     return F.exp(F.sum(F.log(column)))
 
 
+def money(amount: Column) -> Column:
+    """The sum of amounts to the cent, the same in whatever order they come."""
+    return F.round(F.sum(amount.cast("decimal(24,6)")), 2).cast("double")
+
+
 def group_limits(rows: DataFrame, keys: list[str], column: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
     """keys, low and high quantiles (discrete) of a column. Few groups may hold all rows, so equal values are counted
     first, in the map tasks; what then meets in a group is its distinct values with counts."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gondola.functions.stats import geometric_mean, group_limits, lower_median, median
 from gondola.functions.text import competes_in, effective_qty, package_size, pieces_in_text, reasonable_qty
 from gondola.params import DEFAULTS, Params
+from gondola.sources.ingest import append_history
 
 OTHER = "Otros"
 
@@ -261,3 +262,9 @@ def category_store_prices(prices: DataFrame, categories: DataFrame, tiers: DataF
     kept = rows.join(group_limits(rows, keys, "unit_price"), keys).filter("unit_price BETWEEN low AND high")
     out = kept.groupBy(*keys, "company_id", "store_id", "chain", "name", "street", "number", "lat", "lon", "data_date").agg(lower_median("unit_price").alias("median_unit_price"), F.count("*").alias("samples"))
     return out.filter(F.col("samples") >= p.min_samples_store)
+
+
+def who_wins_history(wins: DataFrame, dates: list, path: str) -> DataFrame:
+    """who_wins of the dates to compute into the history at path; their partitions replace their like, others stay."""
+    append_history(wins.filter(F.col("data_date").isin(*dates)), path)
+    return wins.sparkSession.read.parquet(path)

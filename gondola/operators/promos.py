@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gondola.functions.geo import planar_km, within_km
-from gondola.functions.stats import quantile
+from gondola.functions.stats import money, quantile
 from gondola.functions.text import declared_discount, multi_buy, percent_off, valid_until
 from gondola.params import DEFAULTS, Params
 
@@ -121,16 +121,16 @@ def list_total_with_promos(lists: DataFrame, same: DataFrame, promos: DataFrame,
     size = wanted.groupBy("list_id").agg(F.count("*").alias("items"))
     prices = same.filter("credible AND format = 'supermercado'").select("product_id", "chain", "median_price")
     priced = wanted.join(prices, "product_id")
-    whole = priced.groupBy("list_id", "chain").agg(F.count("*").alias("n"), F.sum(F.col("median_price") * F.col("quantity")).alias("total_list")).join(size, "list_id").filter("n = items").select("list_id", "chain", "total_list")
+    whole = priced.groupBy("list_id", "chain").agg(F.count("*").alias("n"), money(F.col("median_price") * F.col("quantity")).alias("total_list")).join(size, "list_id").filter("n = items").select("list_id", "chain", "total_list")
     near = _near_stores(map_stores, points.select("list_id", "lat", "lon"), p.near_km).select("list_id", "store_key", "chain", "distance_km")
     until = valid_until(F.col("legend"))
     offers = promos.filter("NOT multi_buy").withColumn("valid_until", until).filter(F.coalesce(F.col("valid_until") >= day, F.lit(True))).select("product_id", F.explode("stores").alias("store_key"), "promo_price", "valid_until")
     offers = offers.groupBy("product_id", "store_key").agg(F.min(F.struct("promo_price", "valid_until")).alias("offer"))
     rows = whole.join(near, ["list_id", "chain"]).join(priced, ["list_id", "chain"]).join(offers, ["product_id", "store_key"], "left")
     on = F.coalesce(F.col("offer.promo_price") < F.col("median_price"), F.lit(False))
-    rows = rows.groupBy("list_id", "chain", "store_key", "distance_km", "total_list").agg(F.round(F.sum(F.when(on, F.col("offer.promo_price")).otherwise(F.col("median_price")) * F.col("quantity")), 2).alias("total_with_promos"), F.count_if(on).alias("items_on_promo"), F.min(F.when(on, F.col("offer.valid_until"))).alias("valid_until"))
+    rows = rows.groupBy("list_id", "chain", "store_key", "distance_km", "total_list").agg(money(F.when(on, F.col("offer.promo_price")).otherwise(F.col("median_price")) * F.col("quantity")).alias("total_with_promos"), F.count_if(on).alias("items_on_promo"), F.min(F.when(on, F.col("offer.valid_until"))).alias("valid_until"))
     w = Window.partitionBy("list_id", "chain").orderBy("total_with_promos", "distance_km", "store_key")
-    return rows.withColumn("n", F.row_number().over(w)).filter("n = 1").select("list_id", "chain", "store_key", F.round("distance_km", 2).alias("distance_km"), "total_with_promos", F.round("total_list", 2).alias("total_list"), "items_on_promo", "valid_until")
+    return rows.withColumn("n", F.row_number().over(w)).filter("n = 1").select("list_id", "chain", "store_key", F.round("distance_km", 2).alias("distance_km"), "total_with_promos", "total_list", "items_on_promo", "valid_until")
 
 
 def promos_per_store(promos: DataFrame, map_stores: DataFrame, p: Params = DEFAULTS) -> DataFrame:

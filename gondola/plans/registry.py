@@ -266,7 +266,6 @@ SELECT point_id, product_id, chain, promo_price, rank FROM (
 LEFT JOIN (SELECT product_id, min(median_price) AS z FROM same_product WHERE credible GROUP BY product_id) USING (product_id) WHERE rank <= 3 AND (z IS NULL OR promo_price < z)""",
     "point_id, product_id, chain, promo_price, rank",
 )(lambda t: promos.worthwhile_promos(promos.promos_near(t.promos_mapped, t.on_map, _requests(t), "2024-01-19"), t.same.filter("credible").groupBy("product_id").agg(F.min("median_price").alias("zone_price")).withColumn("point_id", F.explode(F.sequence(F.lit(0), F.lit(4))))))
-job("k38_list_total_with_promos", None)(lambda t: promos.list_total_with_promos(t.lists, t.same, t.promos_mapped, t.on_map, t.lists.select("list_id").distinct().select("list_id", F.lit(-34.55).alias("lat"), F.lit(-58.35).alias("lon")), "2024-01-10"))
 
 # Index
 
@@ -345,7 +344,6 @@ job(
     "k65_cheapest_chains",
     f"SELECT chain, count(DISTINCT product_id) AS products, round(count(DISTINCT product_id) / (SELECT count(DISTINCT product_id) FROM {_COMP}) * 100, 1) AS pct FROM {_COMP} WHERE is_cheapest GROUP BY chain ORDER BY products DESC, chain LIMIT 5",
 )(lambda t: catalog.cheapest_chains(t.same, catalog.product_summary(t.same, _ANY_STORES)))
-job("k66_sibling_price_rules", None)(lambda t: catalog.sibling_price_rules(t.same, t.chains, t.chains.select("chain"), Params(min_rule_products=5), 0, 100))
 job(
     "k67_chain_price_levels",
     """
@@ -421,8 +419,8 @@ SELECT list_id, zone_id, chain, total, priced, priced = n AS complete FROM (
 )(lambda t: baskets.quote_lists_in_zone(t.lists, t.same, t.zone_chains))
 
 
-def _baskets(t: Tables) -> DataFrame:
-    """One basket per customer nation of tier: every category and unit in the tier."""
+def baskets_of(t: Tables) -> DataFrame:
+    """One basket for each tier: every category and unit in the tier."""
     tiers = F.array(*(F.struct(F.lit(str(k)).alias("basket_id"), F.lit(tier).alias("tier")) for k, tier in enumerate(("economico", "medio", "premium"))))
     return t.tiers.select("category", "unit").distinct().withColumn("b", F.explode(tiers)).select("b.basket_id", "category", "b.tier", "unit", F.lit(100.0).alias("quantity"))
 
@@ -430,7 +428,7 @@ def _baskets(t: Tables) -> DataFrame:
 def _baskets_at_points(t: Tables) -> tuple[DataFrame, DataFrame]:
     """The three baskets at every supplier's point, with a basket_id of point and tier."""
     name = F.concat_ws("-", F.col("basket_id"), "tier")
-    specs = _baskets(t).drop("basket_id")
+    specs = baskets_of(t).drop("basket_id")
     points = t.points.crossJoin(F.broadcast(specs.select("tier").distinct()))
     return t.points.select("basket_id").crossJoin(F.broadcast(specs)).withColumn("basket_id", name), points.withColumn("basket_id", name).drop("tier")
 
@@ -444,15 +442,14 @@ _COSTS = f"""
 (SELECT b.basket_id, b.category, b.tier, b.unit, CAST(100 AS DOUBLE) AS quantity, round(coalesce(z.p, w.p), 4) AS unit_price, round(coalesce(z.p, w.p) * 100, 2) AS cost, coalesce(z.n, w.n) AS samples, CASE WHEN z.p IS NOT NULL THEN 'zona' ELSE 'provincia' END AS price_origin
  FROM (SELECT DISTINCT basket_id, category, b.tier, unit FROM tiers CROSS JOIN (VALUES ('0', 'economico'), ('1', 'medio'), ('2', 'premium')) b(basket_id, tier)) b
  LEFT JOIN {_LEVEL.format(on="1 AS one", where="locality, province")} z USING (category, tier, unit) LEFT JOIN {_LEVEL.format(on="1 AS one", where="province")} w USING (category, tier, unit) WHERE z.p IS NOT NULL OR w.p IS NOT NULL)"""
-job("k82_basket_cost", f"SELECT * FROM {_COSTS}")(lambda t: baskets.basket_cost(_baskets(t), _zones(t), t.locality_prices))
+job("k82_basket_cost", f"SELECT * FROM {_COSTS}")(lambda t: baskets.basket_cost(baskets_of(t), _zones(t), t.locality_prices))
 job(
     "k82_basket_totals",
     f"""
 SELECT basket_id, asked, coalesce(total, 0) AS total, coalesce(priced, 0) AS priced, coalesce(from_province, 0) AS from_province
 FROM (SELECT basket_id, count(*) AS asked FROM (SELECT DISTINCT basket_id, category, b.tier, unit FROM tiers CROSS JOIN (VALUES ('0', 'economico'), ('1', 'medio'), ('2', 'premium')) b(basket_id, tier)) GROUP BY basket_id)
 LEFT JOIN (SELECT basket_id, CAST(round(sum(CAST(cost AS DECIMAL(24,6))), 2) AS DOUBLE) AS total, count(*) AS priced, count(*) FILTER (price_origin = 'provincia') AS from_province FROM {_COSTS} GROUP BY basket_id) USING (basket_id)""",
-)(lambda t: baskets.basket_totals(_baskets(t), baskets.basket_cost(_baskets(t), _zones(t), t.locality_prices)))
-job("k83_basket_by_chain", None)(lambda t: baskets.basket_by_chain(_baskets(t), t.store_prices, catalog.chain_price_levels(t.same), 0.5, 2))
+)(lambda t: baskets.basket_totals(baskets_of(t), baskets.basket_cost(baskets_of(t), _zones(t), t.locality_prices)))
 job("k84_best_store_combinations", None)(lambda t: baskets.best_store_combinations(*_baskets_at_points(t), t.store_prices))
 job("k86_quotable_localities", "SELECT locality, province, count(DISTINCT category) AS categories FROM locality_prices GROUP BY ALL HAVING count(DISTINCT category) >= 2")(lambda t: baskets.quotable_localities(t.locality_prices, 2))
 job("k87_zone_gazetteer", None)(lambda t: baskets.zone_gazetteer(t.on_map, spread_km=30))

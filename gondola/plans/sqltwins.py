@@ -38,6 +38,9 @@ WHERE c.category <> 'Otros' AND (h.format = 'supermercado' OR c.section IN ('Hig
     "levels": """
 SELECT category, chain, unit, data_date, quantile_disc(unit_price, 0.5) AS median_unit_price, count(*) AS samples
 FROM economy JOIN economy_limits USING (category, data_date) WHERE unit_price BETWEEN low AND high GROUP BY ALL HAVING count(*) >= 20""",
+    "levels_of_few": """
+SELECT category, chain, unit, data_date, quantile_disc(unit_price, 0.5) AS median_unit_price, count(*) AS samples
+FROM economy JOIN economy_limits USING (category, data_date) WHERE unit_price BETWEEN low AND high GROUP BY ALL""",
     "pairs": "SELECT data_date, lag(data_date) OVER (ORDER BY data_date) AS base_date FROM (SELECT DISTINCT data_date FROM demo_prices)",
     "day_prices": "SELECT category, chain, unit, product_id, data_date, quantile_disc(unit_price, 0.5) AS up FROM unit_prices GROUP BY ALL",
     "factors": """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date as Date
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 from gondola.params import DEFAULTS, Params
 
 OTHER = "Otros"
+#: Rows longer than their header that a load may drop.
+MAX_BAD_RECORDS = 1000
 
 
 class TooManyBadRecords(ValueError):
@@ -22,18 +25,19 @@ def _header(spark: SparkSession, path: str) -> list[str]:
     return [] if line is None else [c.strip().strip('"').lower() for c in line[0].lstrip("﻿").split("|")]
 
 
-def read_price_feed(spark: SparkSession, paths: list[str], data_date: Date | str, columns: list[str], max_bad_records: int | None = None) -> DataFrame:
+def read_price_feed(spark: SparkSession, paths: list[str], data_date: Date | str, columns: list[str], max_bad_records: int | None = MAX_BAD_RECORDS) -> DataFrame:
     """Pipe-delimited files with a header each, by column name, all text, stamped with the date.
 
-    Short rows are filled with empty text, rows longer than the header are dropped (an error beyond max_bad_records), quoted
+    Short rows are filled with empty text, rows longer than the header are dropped (an error beyond max_bad_records; None
+    accepts any number), quoted
     newlines, a byte-order mark and blank lines are read over; columns that a file lacks are empty.
     """
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")  # else a row's length isn't seen
     frames = []
     for path in paths:
         names = _header(spark, path)
         schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, "_bad"]])
-        rows = spark.read.csv(path, schema=schema, sep="|", header=True, multiLine=True, columnNameOfCorruptRecord="_bad", mode="PERMISSIVE", enforceSchema=True)
+        # Without pruning, or a row's length isn't seen.
+        rows = spark.read.option("columnPruning", "false").csv(path, schema=schema, sep="|", header=True, multiLine=True, columnNameOfCorruptRecord="_bad", mode="PERMISSIVE", enforceSchema=True)
         fields = F.size(F.split(F.regexp_replace("_bad", '"[^"]*"', ""), r"\|", -1))
         # Spark refuses to read the flag alone; the second test is never true, but it reads a column beside the flag.
         rows = rows.withColumn("_long", F.coalesce(fields > len(names), F.lit(False)) | (F.length(F.coalesce(F.col(names[0]), F.lit(""))) < 0))
@@ -183,6 +187,19 @@ def expire_partitions(df: DataFrame, today: Date | str, days: int) -> DataFrame:
     return df.filter(F.col("data_date") >= F.date_sub(F.lit(today).cast("date"), days))
 
 
+def drop_expired(spark: SparkSession, path: str, today: Date, days: int, date_col: str = "data_date") -> list[Date]:
+    """Delete the partition folders of a table that are older than so many days; returns their dates."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = []
+    for status in fs.listStatus(folder):
+        name, _, value = status.getPath().getName().partition("=")
+        if name == date_col and Date.fromisoformat(value) < today - timedelta(days=days):
+            fs.delete(status.getPath(), True)
+            old.append(Date.fromisoformat(value))
+    return sorted(old)
+
+
 def verify_loaded(df: DataFrame, dates: DataFrame) -> DataFrame:
     """Loaded dates that the table no longer has."""
     return dates.select("data_date").distinct().join(df.select("data_date").distinct(), "data_date", "left_anti")
