@@ -311,13 +311,16 @@ def test_contaminated_finds_changed_words_at_each_place(spark):
 
 def plain_lm(texts, chosen):
     """Both models' mean losses of each text, by dictionaries."""
-    grams = [Counter(), Counter()]
-    for t, c in zip(texts, chosen, strict=True):
-        s = [0, 0, 0, *(b + 1 for b in t.encode())]
-        for i in range(3, len(s)):
-            for n in range(1, 5):
-                grams[1][tuple(s[i - n + 1 : i + 1])] += 1
-                grams[0][tuple(s[i - n + 1 : i + 1])] += c
+    tokens = [re.findall(rb"^[ \t-\r]*[^ \t-\r]+[ \t-\r]*|[^ \t-\r]+[ \t-\r]*", t.encode()) for t in texts]
+    grams, words = [Counter(), Counter()], [Counter(), Counter()]
+    for t, own, c in zip(texts, tokens, chosen, strict=True):
+        s = [0, 0, *(b + 1 for b in t.encode())]
+        for m, times in ((0, int(c)), (1, 1)):
+            for i in range(2, len(s)):
+                for n in range(1, 4):
+                    grams[m][tuple(s[i - n + 1 : i + 1])] += times
+            for w in own:
+                words[m][w.strip()] += times
     vocabulary = len({g for g in grams[1] if len(g) == 1})
     contexts = [defaultdict(lambda: [0, 0]) for _ in grams]
     for m in (0, 1):
@@ -331,25 +334,31 @@ def plain_lm(texts, chosen):
         total, kinds = contexts[m][len(g), g[:-1]]
         return lower if not total else (grams[m][g] + kinds * lower) / (total + kinds)
 
-    out = []
-    for t in texts:
-        s = [0, 0, 0, *(b + 1 for b in t.encode())]
-        out.append([sum(-math.log(p(m, tuple(s[i - 3 : i + 1]))) for i in range(3, len(s))) / max(1, len(s) - 3) for m in (0, 1)])
-    return out
+    def loss(m, text, own):
+        s, i, out = [0, 0, *(b + 1 for b in text.encode())], 2, 0.0
+        n, kinds = sum(words[m].values()), sum(c > 0 for c in words[m].values())
+        for w in own:
+            spelled = math.exp(sum(math.log(p(m, tuple(s[j - 2 : j + 1]))) for j in range(i, i + len(w))))
+            out -= math.log((words[m][w.strip()] + kinds * spelled) / (n + kinds) if kinds else spelled)
+            i += len(w)
+        return out / max(1, len(own))
 
+    return [[loss(m, t, own) for m in (0, 1)] for t, own in zip(texts, tokens, strict=True)]
 
-@pytest.mark.parametrize("limit", [lm.BROADCAST_GRAMS, 0])
-def test_cross_entropy_difference(spark, sample, limit):
-    texts = [t[:150] for _, t in sample[:12]] + ["", None, "é", "a"]
-    chosen = [k % 3 == 0 for k in range(len(texts))]
-    docs = docs_of(spark, texts).withColumn("gram", F.lit(1))
+
+@pytest.mark.parametrize("head,targets", [(lm.HEAD_WORDS, True), (20, True), (0, True), (20, False)])
+def test_cross_entropy_difference(spark, sample, head, targets):
+    texts = [t[:150] for _, t in sample[:12]] + ["", None, "é", "a", "  \n", "  b  a\n", sample[0][1][:150]]
+    chosen = [targets and k % 3 == 0 for k in range(len(texts))]
+    docs = docs_of(spark, texts).withColumns({"gram": F.lit(1), "word": F.lit(2)})
     target = spark.createDataFrame([(k,) for k, c in enumerate(chosen) if c], "doc_id long")
-    found = by_id(lm.cross_entropy_difference(docs, target, limit))
+    found = by_id(lm.cross_entropy_difference(docs, target, head))
+    assert set(found) == set(range(len(texts)))
     for k, (t, (a, b)) in enumerate(zip(texts, plain_lm([t or "" for t in texts], chosen), strict=True)):
-        if not t:
+        if not (t or "").strip():
             assert found[k]["n_tokens"] == 0 and found[k]["ce_difference"] is None
         else:
-            assert found[k]["ce_target"] == pytest.approx(a, abs=1e-5) and found[k]["ce_background"] == pytest.approx(b, abs=1e-5)
+            assert found[k]["n_tokens"] == len(t.split()) and found[k]["ce_target"] == pytest.approx(a, abs=1e-5) and found[k]["ce_background"] == pytest.approx(b, abs=1e-5)
     assert lm.cross_entropy_difference(docs.limit(0), target).count() == 0
 
 
