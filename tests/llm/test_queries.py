@@ -1,0 +1,116 @@
+"""The registered queries and the whole pipeline, against plain versions and on odd tables."""
+
+import glob
+import hashlib
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from gondola.llm import queries, token_files
+
+from . import brute
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def plain_hash(payload):
+    """Signs of the 8 x 8 lowest cosine frequencies against the median of all but the mean, by the definition's sums."""
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, 576).astype(float)
+    height, width = rows.shape
+    cos = lambda n, u: np.array([np.cos(np.pi * (2 * x + 1) * u / (2 * n)) / n for x in range(n)])
+    c = np.round([sum(cos(height, u)[y] * (rows[y] @ cos(width, v)) for y in range(height)) for u in range(8) for v in range(8)], 9)
+    bits = "".join("1" if x > np.median(c[1:]) else "0" for x in c)
+    return f"{int(bits, 2):016x}"
+
+
+def test_media_query(spark, texts):
+    found = {r["doc_id"]: r for r in queries.op2_media_columns(spark, SF).collect()}
+    assert set(found) == set(texts)
+    for k, t in texts.items():
+        raw = t.encode()
+        payload = raw + b"\xff" * ((-len(raw) % 576) if raw else 576)
+        r = found[k]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        if k % 10 == 0:
+            assert r["feature"] == plain_hash(payload)
+
+
+def test_token_query(spark, texts):
+    plain, at = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0
+    found = {r["doc_id"]: r for r in queries.op4_token_files(spark, SF).collect()}
+    for k in sorted(texts):
+        ids = plain.encode(texts[k], add_special_tokens=False).ids + [2]
+        assert (found[k]["start"], found[k]["n_tokens"], found[k]["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_token_files_hold_dictionary_delta_and_page_indexes(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    token_files.write_token_files(spark.read.parquet(f"{SF}/documents.parquet"), path)
+    group = [pq.ParquetFile(f).metadata.row_group(0) for f in glob.glob(f"{tmp_path}/t/*.parquet")]
+    columns = {g.column(i).path_in_schema: g.column(i) for g in group if g.num_rows for i in range(g.num_columns)}
+    ids = next(c for name, c in columns.items() if name.startswith("ids"))
+    assert "RLE_DICTIONARY" in ids.encodings and ids.has_offset_index
+    for c in ("doc_id", "local_start"):
+        assert "DELTA_BINARY_PACKED" in columns[c].encodings and columns[c].has_offset_index and columns[c].has_column_index
+    assert all(g.total_byte_size <= 2 * token_files.ROW_GROUP_BYTES for g in group)
+
+
+def test_repeats_query(spark, texts):
+    found = {r["doc_id"]: r for r in queries.op9_repeats(spark, SF).collect()}
+    seen = {}
+    for k, t in texts.items():
+        raw = t.encode()
+        for i in range(len(raw) - 199):
+            seen.setdefault(raw[i : i + 200], []).append((k, i))
+    gone = {k: np.zeros(len(t.encode()), bool) for k, t in texts.items()}
+    for places in seen.values():
+        if len(places) > 1:
+            for k, i in places:
+                gone[k][i : i + 200] = True
+    for k, t in texts.items():
+        raw = np.frombuffer(t.encode(), np.uint8)
+        runs = int((np.diff(np.concatenate([[0], gone[k].astype(int), [0]])) == 1).sum())
+        assert (found[k]["n_bytes"], found[k]["n_removed"], found[k]["n_spans"]) == (len(raw), int(gone[k].sum()), runs)
+        assert found[k]["kept_sha256"] == hashlib.sha256(raw[~gone[k]].tobytes()).hexdigest()
+
+
+def test_near_duplicate_recall(spark, texts):
+    """Of the links that brute force finds, the share whose ends share a component; and no component without links."""
+    found = {r["doc_id"]: r["component_id"] for r in queries.op6_bbit_minhash(spark, SF).collect()}
+    want = {d: c for d, (_, c) in brute.near_duplicates(sorted(texts.items())).items()}
+    assert found == want and sum(d != c for d, c in want.items()) > 0
+
+
+def test_pipeline_runs_whole(spark):
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() > 0 and out.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").count() == 0
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None), (1, None), (None, "one two three four five six"), (None, None), (2, ""), (3, "word " * 30_000), (4, "token=abcdef12"), (4, "token=abcdef12"), (5, "one two three four five six")]])
+def test_pipeline_on_odd_tables(spark, tmp_path, rows):
+    """Empty tables; nulls in any column, empty, long and repeated texts; columns named like the stages' own."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.length("text").cast("long"), "score": F.lit(7), "base_spans": F.lit(8), "secret_spans": F.lit(9), "kept": F.lit(1), "component_id": F.lit(2), "bucket": F.lit(3), "item_id": F.lit(4), "length": F.lit(5)})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns and now.filter("score <> 7 OR base_spans <> 8 OR secret_spans <> 9").count() == 0
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    kept = now.count()
+    assert out.select("doc_id", "piece").filter("piece = 0").count() == kept and (kept > 0) == bool(rows)
+    if rows:
+        assert now.filter("text LIKE '%token=%'").count() == 0 and now.filter("doc_id = 5 OR doc_id = 3").count() == 2
