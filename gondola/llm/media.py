@@ -145,7 +145,8 @@ def _write(width: int):
 
 def to_media(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_bytes and the PNG of each whole text as UTF-8, filled up with bytes 255. Null texts are empty and give one
-    row of 255; equal texts give equal images; other columns are left out."""
+    row of 255; equal texts give equal images; rows without doc_id keep a null, repeated rows an image each; an empty table
+    gives an empty one; other columns are left out."""
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_write(width), _MEDIA)
 

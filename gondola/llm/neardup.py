@@ -176,7 +176,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     smallest doc_id stands for. In each band a bucket's members first meet one member (the smallest, then others), so a
     large group becomes one component without its pairs; only pairs of different components in a bucket meet at last, and
     what estimates and bitmaps refute of them isn't written.
-    Null texts count as empty; repeated doc_ids stay; an empty table gives an empty one; other columns are left out.
+    Null texts count as empty; rows without doc_id take part as texts, but their component_id and kept are null; repeated
+    doc_ids stay, but of different texts under one doc_id any one may stand for all; an empty table gives an empty one; other
+    columns are left out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = saved(signatures(docs), "signatures")

@@ -18,8 +18,9 @@ VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 1024
 #: Pieces that are packed together in a task, in every round.
 BLOCK_PIECES = 4096
-#: Passes of the local search over a block's underfull sequences.
-SEARCH_PASSES = 30
+#: A bound on the passes of the local search over a block's underfull sequences, a parameter of swap_search and pack_pieces.
+#: Each step raises the sum of squared fills, so the search ends by itself: within 3 passes on blocks of several kinds of sizes.
+SEARCH_PASSES = 1000
 
 
 def _cut(vocabulary: str, end_id: int, capacity: int, keep_ids: bool):
@@ -52,7 +53,8 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VO
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids of each document's pieces.
 
     A document with its end id that is longer than the capacity is cut so that all pieces but the first are full. Null and
-    empty texts give one piece with the end id alone; other columns are left out.
+    empty texts give one piece with the end id alone; rows without doc_id keep a null, repeated rows give their pieces each;
+    an empty table gives an empty one; other columns are left out.
     """
     small_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids

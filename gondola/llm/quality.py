@@ -133,7 +133,7 @@ def score_quality(docs: DataFrame, model: QualityModel, keep: list[str] | None =
     """The columns named in `keep` (all if None) and `score`, from 0 to 1, higher where quality 1 is likelier.
 
     Only the whole text is read. Null and empty texts have no features and get the score of the bias alone; equal texts get
-    equal scores; an empty table gives an empty one; an own column named score is replaced.
+    equal scores, whatever their doc_id, which may be null or repeated; an empty table gives an empty one; an own column named score is replaced.
     """
     small_batches(docs.sparkSession)
     names = [c for c in (docs.columns if keep is None else keep) if c != "score"]

@@ -1,8 +1,9 @@
-"""Bytes in long strings that occur more than once: ranks of growing strings at shared anchors, refined until unique.
+"""Bytes in long strings that occur more than once: strings at shared anchors, refined by hashes of growing strings.
 
-Suffixes are compared by prefix doubling in reverse: not every position starts a comparison, but one anchor in about 65
-bytes, chosen by the text itself, and each round ranks anchors by the pair (rank so far, hash of the string grown at an
-offset). Strings whose rank is unique leave; what reaches the full length is a repeat.
+Not every position starts a comparison, but one anchor in about 65 bytes, chosen by the text itself, and each round ranks
+anchors by the pair (rank so far, hash of the string grown to either side). Strings whose rank is unique leave; what reaches
+the full length is a repeat. This stands in for prefix doubling over all positions; the README says why. Equality rests on
+64-bit hashes.
 """
 
 from __future__ import annotations

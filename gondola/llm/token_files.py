@@ -45,7 +45,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY,
     """Write one row per document in ascending doc_id: its place in its file, its length and its ids with the end id.
 
     Null texts are empty and give the end id alone; an empty table gives files without rows; repeated doc_ids give a row
-    each; other columns of `docs` are left out. Files hold disjoint ranges of doc_id in the order of `part`. doc_id and
+    each, in any order among themselves; rows without doc_id stand first, with a null; other columns of `docs` are left out. Files hold disjoint ranges of doc_id in the order of `part`. doc_id and
     positions are delta coded, ids dictionary coded.
     """
     small_batches(docs.sparkSession)
