@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.llm import chat, decontam, lm, media, neardup, packing, quality, repeats, secrets, token_files
+from gondola.llm import chat, decontam, exact, lm, media, neardup, packing, quality, repeats, search, secrets, token_files, tries
 from gondola.llm.common import saved, work_dir, write_table
 
 
@@ -87,6 +87,18 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op11_block_max_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_heavy_hitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.filter_interactions(tries.filter_masks(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "labels"))
+
+
 #: Turns that conflict with the marks are escaped: & to &amp;, then <| to &lt;|, and their header gets a mark of 11 characters.
 _OP8_SQL = """
 WITH t AS (
@@ -106,8 +118,59 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM r GROUP BY conv_id
 """
 
+_OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), i AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), q AS (SELECT item_id, term, count(*)::BIGINT AS times FROM i GROUP BY item_id, term
+), s AS (SELECT count(*) FILTER (WHERE len(terms) > 0)::BIGINT AS n, sum(len(terms))::BIGINT AS l FROM d
+), t AS (SELECT r, doc_id, len(terms)::BIGINT AS size, unnest(terms) AS term FROM d
+), p AS (SELECT r, doc_id, size, term, count(*)::BIGINT AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY r, doc_id, size, term
+), w AS (SELECT term, floor(1000 * ln((2 * s.n + 2)::DOUBLE / (2 * f.df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term) f, s
+), x AS (
+  SELECT q.item_id, p.r, p.doc_id, sum(q.times * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 12 * (75 + (25 * p.size * s.n) // s.l))))::BIGINT AS score
+  FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY q.item_id, p.r, p.doc_id
+), y AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r)::INTEGER AS rank, doc_id, score FROM x WHERE score > 0)
+SELECT * FROM y WHERE rank <= 20
+"""
+
+_OP12_SQL = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+"""
+
+_OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id
+  FROM documents
+), f AS (
+  SELECT part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic,
+         (len(words) < 50)::INT + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT
+         + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > first_id)::INT AS mask
+  FROM d LEFT JOIN labels USING (doc_id)
+), c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY part, mask
+), l AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v (letter, bit)
+), o AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM l a, l b, l c, l d, l e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), s AS (SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), r AS (
+  SELECT part, filter_order, step, own, sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN mask & own > 0 AND mask & before > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+       toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM r
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_media_columns, op3_spaced_seeds, op4_token_files, op5_cross_entropy, op6_bbit_minhash, op7_quality, op8_chat_format, op9_repeats, op10_secrets)
+    for f in (op1_best_fit_packing, op2_media_columns, op3_spaced_seeds, op4_token_files, op5_cross_entropy, op6_bbit_minhash, op7_quality, op8_chat_format, op9_repeats, op10_secrets, op11_block_max_maxscore, op12_heavy_hitters, op13_filter_audit)
 }
-ORACLES = {"op8_chat_format": _OP8_SQL}
+ORACLES = {"op8_chat_format": _OP8_SQL, "op11_block_max_maxscore": _OP11_SQL, "op12_heavy_hitters": _OP12_SQL, "op13_filter_audit": _OP13_SQL}
