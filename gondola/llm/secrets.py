@@ -18,11 +18,11 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS_LONG, HEX_LONG = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 MIN_ASSIGN = 6
 
-#: Candidates of the Markov models, their characters, and the least log-likelihood ratio of a random string.
+#: Candidates of the Markov models, their characters, and the least log-likelihood ratio per character pair of a random string.
 MIN_CANDIDATE = 16
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{MIN_CANDIDATE},}}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-MIN_RATIO = 15.0
+MIN_RATIO = 1.25
 #: At most so many labelled words, of at most so many documents, train the models; three random strings go with each word.
 TRAINING_WORDS, TRAINING_DOCS = 20_000, 2_000
 SMOOTHING = 0.5
@@ -56,16 +56,31 @@ def base_spans(text: Column) -> Column:
 
 
 def labelled_strings(docs: DataFrame, words: int = TRAINING_WORDS, documents: int = TRAINING_DOCS) -> DataFrame:
-    """(string, random): ordinary words of the corpus, and random strings that digests of the same words spell in base
-    64, hexadecimal and capitals. The words are those with the smallest hashes among the distinct words of at most so
-    many documents, chosen by hash too; both bounds are parameters, and they bound the training at every size."""
+    """(string, random): ordinary identifiers and random strings.
+
+    Ordinary are the corpus's own runs of candidates' characters, digits included, outside the fixed patterns: those with the
+    smallest hashes among the distinct runs of at most so many documents, chosen by hash too (both bounds are parameters, and
+    they bound the training at every size). As a corpus may hold few of them, these words are also joined to names, and their
+    digests spell numbers, times, order numbers and UUIDs, which are ordinary as well. The same digests spell random strings: in base 64, in
+    capitals and digits, in small letters and digits.
+    """
     some = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     chosen = docs.select(F.col("doc_id").alias("chosen")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
-    word = F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z_][A-Za-z_-]{4,}"), F.lit(0))).alias("string")
-    ordinary = some.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen"), "left_semi").select(word).distinct().orderBy(F.xxhash64("string"), "string").limit(words)
+    free = F.regexp_replace("text", f"{ASSIGN}|{ACCESS_LONG}|{HEX_LONG}", " ")
+    run = F.explode(F.regexp_extract_all(free, F.lit(r"[A-Za-z0-9+/_=-]{5,}"), F.lit(0))).alias("string")
+    own = some.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen"), "left_semi").select(run).distinct().orderBy(F.xxhash64("string"), "string").limit(words)
     digest = F.unhex(F.sha2("string", 256))
-    spelled = F.explode(F.array(F.base64(digest), F.lower(F.hex(digest)), F.upper(F.translate(F.base64(digest), "+/=", "")))).alias("string")
-    return ordinary.select("string", F.lit(False).alias("random")).unionByName(ordinary.select(spelled, F.lit(True).alias("random")))
+    hexed, letters = F.lower(F.hex(digest)), F.translate(F.base64(digest), "+/=", "")
+    part = lambda a, n: F.substring(hexed, a, n)
+    count = F.conv(part(1, 14), 16, 10)
+    time = F.timestamp_seconds(F.conv(part(15, 8), 16, 10).cast("long") % 2_000_000_000)
+    numbers = (count, F.concat(count, F.conv(part(23, 6), 16, 10)), F.date_format(time, "yyyyMMddHHmmss"), F.date_format(time, "yyyy-MM-dd-HH-mm-ss"), F.concat(F.lit("978-"), F.substring(count, 1, 1), F.lit("-"), F.substring(count, 2, 4), F.lit("-"), F.substring(count, 6, 4), F.lit("-"), F.substring(count, 10, 1)))
+    named = (F.concat_ws("-", F.upper(F.substring("string", 1, 3)), F.date_format(time, "yyyy"), F.substring(count, 1, 8)), F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12)))
+    word = F.lower("string")
+    joined = (F.concat(word, F.initcap(word)), F.concat_ws("_", word, word), F.concat_ws("/", word, word))
+    ordinary = F.explode(F.array("string", *joined, *numbers, *named)).alias("string")
+    spelled = F.explode(F.array(F.base64(digest), F.upper(letters), F.lower(letters))).alias("string")
+    return own.select(ordinary, F.lit(False).alias("random")).unionByName(own.select(spelled, F.lit(True).alias("random")))
 
 
 def train(samples: DataFrame) -> list[float]:
@@ -88,7 +103,7 @@ def train(samples: DataFrame) -> list[float]:
 
 
 def ratio(string: Column, model: list[float]) -> Column:
-    """Log-likelihood ratio of a string of ALPHABET's characters: the sum over its pairs."""
+    """Log-likelihood ratio of a string of ALPHABET's characters: the mean over its pairs, so that length alone decides nothing."""
     table, n = F.lit(model), len(ALPHABET)
     place = lambda i: F.instr(F.lit(ALPHABET), F.substring(string, i, F.lit(1)))
 
@@ -97,7 +112,7 @@ def ratio(string: Column, model: list[float]) -> Column:
         return F.struct(here.alias("last"), (acc["sum"] + F.coalesce(F.get(table, (acc["last"] - 1) * n + here - 1), F.lit(0.0))).alias("sum"))
 
     first = F.struct(place(F.lit(1)).alias("last"), F.lit(0.0).alias("sum"))
-    return F.aggregate(F.sequence(F.lit(2), F.length(string)), first, step, lambda acc: acc["sum"])
+    return F.aggregate(F.sequence(F.lit(2), F.length(string)), first, step, lambda acc: acc["sum"] / (F.length(string) - 1))
 
 
 def random_spans(text: Column, base: Column, model: list[float], least: float = MIN_RATIO) -> Column:
