@@ -9,6 +9,7 @@ from gondola.functions.stats import geometric_mean, median
 from gondola.functions.text import FILLERS, list_line, list_lines, search_form, search_words, searchable_sizes, variants
 from gondola.operators.prices import _wins
 from gondola.params import DEFAULTS, Params
+from gondola.sources.work import written
 
 PRODUCT = ["product_id", "description", "brand", "category", "chains", "companies", "lowest", "highest", "gap_pct", "chains_discarded", "qty", "unit"]
 
@@ -143,29 +144,50 @@ def _search_index(products: DataFrame) -> DataFrame:
     return products.select("product_id", "description", "chains", visible.alias("visible_words"), every.alias("all_words"), F.filter(in_category, lambda w: F.length(w) > 2).alias("category_words"))
 
 
+def _prefixes(word: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda n: F.substring(word, F.lit(1), n))
+
+
+def _candidates(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """(question, product_id) where the rarest word of the question begins a word of the product. How many products a prefix
+    reaches is counted over the vocabulary, so a prefix that is in every product costs a count and no row, unless a question
+    has nothing rarer."""
+    places = asked.select("question", F.posexplode("forms").alias("place", "form"))
+    posted = index.select("product_id", F.explode("all_words").alias("word"))
+    vocabulary = posted.groupBy("word").agg(F.count("*").alias("products")).select("word", "products", F.explode(_prefixes(F.col("word"))).alias("prefix"))
+    tried = places.select(F.explode("form").alias("prefix")).distinct()
+    begun = written(vocabulary.join(tried, "prefix"), "begun")
+    cost = begun.groupBy("prefix").agg(F.sum("products").alias("cost"))
+    by_place = places.select("question", "place", F.explode("form").alias("prefix")).join(cost, "prefix", "left").groupBy("question", "place").agg(F.sum(F.coalesce("cost", F.lit(0))).alias("cost"))
+    rarest = by_place.groupBy("question").agg(F.min(F.struct("cost", "place")).alias("least")).filter("least.cost > 0").select("question", F.col("least.place").alias("place"))
+    words = places.join(rarest, ["question", "place"]).select("question", F.explode("form").alias("prefix")).join(begun, "prefix").select("question", "word").distinct()
+    return words.join(posted, "word").select("question", "product_id").distinct()
+
+
 def bulk_search(queries: DataFrame, products: DataFrame, k: int = 20) -> DataFrame:
     """For queries (query_id, text) over products (product_id, description, brand, search_text, category, qty, unit,
-    chains), the k best products in which each word of the query begins a word. An inverted index of word prefixes joins the
-    query words with the products; nothing is compared pair by pair."""
-    index = _search_index(products)
-    prefixes = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda n: F.substring(w, F.lit(1), n))
-    posted = index.select("product_id", F.explode(F.array_distinct(F.flatten(F.transform("all_words", prefixes)))).alias("prefix"))
-    asked = queries.withColumn("words", search_words(F.col("text"))).filter(F.size("words") > 0)
-    tried = asked.select("query_id", F.posexplode("words").alias("place", "word")).select("query_id", "place", F.explode(variants(F.col("word"))).alias("prefix"))
-    hits = tried.join(posted, "prefix").groupBy("query_id", "product_id").agg(F.countDistinct("place").alias("n"))
-    found = hits.join(asked.select("query_id", "words"), "query_id").filter(F.col("n") == F.size("words")).join(index, "product_id")
-    forms = F.transform("words", variants)
+    chains), the k best products in which each word of the query begins a word.
+
+    Equal queries are answered once. Each starts from its rarest word, and what that reaches is tested for the other words;
+    the rank's window keeps k rows of a query in each task before they meet.
+    """
+    index = written(_search_index(products), "search")
+    texts = queries.withColumn("words", search_words(F.col("text"))).filter(F.size("words") > 0).withColumn("question", F.array_join("words", " "))
+    asked = texts.select("question", "words").distinct().withColumn("forms", F.transform("words", variants))
+    begins = lambda names, v: F.exists(names, lambda w: F.exists(v, lambda x: F.startswith(w, x)))
+    found = _candidates(asked, index).join(asked, "question").join(index, "product_id").filter(F.forall("forms", lambda v: begins(F.col("all_words"), v)))
 
     def same_word(w: Column, v: Column) -> Column:
         return F.arrays_overlap(variants(w), v)
 
     touched = F.size(F.filter("category_words", lambda w: F.exists(F.col("forms"), lambda v: same_word(w, v))))
     match = F.when(touched == 0, 2).when(touched == F.size("category_words"), 0).otherwise(1)
-    visible = F.forall(F.col("forms"), lambda v: F.exists(F.col("visible_words"), lambda w: F.exists(v, lambda x: F.startswith(w, x))))
-    whole = F.forall(F.col("forms"), lambda v: F.exists(F.col("visible_words"), lambda w: same_word(w, v)))
-    found = found.withColumn("forms", forms).withColumns({"category_match": match, "visible": visible, "whole_words": whole})
-    w = Window.partitionBy("query_id").orderBy("category_match", F.col("visible").desc(), F.col("whole_words").desc(), F.col("chains").desc(), F.length("description"), "description", "product_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "product_id", "category_match", "visible", "whole_words", "chains")
+    visible = F.forall("forms", lambda v: begins(F.col("visible_words"), v))
+    whole = F.forall("forms", lambda v: F.exists("visible_words", lambda w: same_word(w, v)))
+    found = found.withColumns({"category_match": match, "visible": visible, "whole_words": whole})
+    w = Window.partitionBy("question").orderBy("category_match", F.col("visible").desc(), F.col("whole_words").desc(), F.col("chains").desc(), F.length("description"), "description", "product_id")
+    best = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("question", "rank", "product_id", "category_match", "visible", "whole_words", "chains")
+    return texts.select("query_id", "question").join(best, "question").drop("question")
 
 
 def resolve_staples(staples: DataFrame, products: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gondola.functions.stats import geometric_mean, group_limits, lower_median, median
+from gondola.functions.stats import geometric_mean, group_limits, lower_median, median, ranked_slices, select_ranks
 from gondola.functions.text import competes_in, effective_qty, package_size, pieces_in_text, reasonable_qty
 from gondola.params import DEFAULTS, Params
 from gondola.sources.ingest import append_history
@@ -48,14 +48,19 @@ def with_package(categories: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
 
 def product_tiers(prices: DataFrame, categories: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Tercile of the unit price within category and unit, over all dates."""
+    """Tercile of the unit price within category and unit, over all dates; equal prices by product_id. The two rows that
+    end a tercile are selected by rank, so no task holds a category."""
     qty = effective_qty(F.col("qty"), F.col("unit"), F.col("per_piece"), F.col("pieces"))
     usable = F.col("qty").isNotNull() & reasonable_qty(F.col("qty"), F.col("unit"), F.col("per_piece"), F.col("pieces"))
     rows = prices.join(with_package(categories, p), "product_id").filter(usable).filter(F.col("category") != OTHER).withColumn("per_unit", F.col("price") / qty)
     one = rows.groupBy("product_id", "unit").agg(*(F.min(c).alias(c) for c in ("category", "section", "per_piece", "pieces")), lower_median("price").alias("median_price"), lower_median("per_unit").alias("unit_price"))
-    tercile = F.ntile(3).over(Window.partitionBy("category", "unit").orderBy("unit_price", "product_id"))
-    tier = F.when(tercile == 1, "economico").when(tercile == 2, "medio").otherwise("premium")
-    return one.select("product_id", "category", "section", "median_price", "unit_price", "unit", "per_piece", "pieces", tier.alias("tier"))
+    keys, order = ["category", "unit"], ["unit_price", "product_id"]
+    one = ranked_slices(one, keys, order)
+    third = lambda k: lambda n: F.floor(n / 3) * k + F.least(n % 3, F.lit(k))
+    bounds = select_ranks(one, keys, order, {"first": third(1), "second": third(2)})
+    at = F.struct(*order)
+    tier = F.when(at <= F.col("first"), "economico").when(at <= F.coalesce("second", "first"), "medio").otherwise("premium")
+    return one.join(bounds, keys).select("product_id", "category", "section", "median_price", "unit_price", "unit", "per_piece", "pieces", tier.alias("tier"))
 
 
 def unit_prices(prices: DataFrame, categories: DataFrame, tiers: DataFrame, companies: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -218,12 +223,18 @@ def same_product(product_chain: DataFrame, categories: DataFrame, raw: DataFrame
     )
 
 
-def price_history_update(same: DataFrame, history: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """today's credible prices that differ from the last stored before today, or were never stored."""
-    today = same.filter("credible AND median_price IS NOT NULL").select("data_date", "price_date", "product_id", "chain", F.col("median_price").alias("price"))
-    day = today.agg(F.max("data_date").alias("day"))
-    last = history.crossJoin(F.broadcast(day)).filter("data_date < day").groupBy("product_id", "chain").agg(F.max_by("price", "data_date").alias("last_price"))
-    return today.join(last, ["product_id", "chain"], "left").filter(F.col("last_price").isNull() | (F.abs(F.col("price") - F.col("last_price")) > p.price_epsilon)).select("data_date", "price_date", "product_id", "chain", "price")
+def credible_today(same: DataFrame) -> DataFrame:
+    """What K20 compares: a day's credible prices by product and chain."""
+    return same.filter("credible AND median_price IS NOT NULL").select("data_date", "price_date", "product_id", "chain", F.col("median_price").alias("price"))
+
+
+def price_history_update(same: DataFrame, history: DataFrame, date, p: Params = DEFAULTS) -> DataFrame:
+    """The credible prices of a date that differ from the last stored before it, or were never stored (J12). It reads the
+    whole history; history.advance_price_state does the same from a state table."""
+    day = F.lit(date).cast("date")
+    last = history.filter(F.col("data_date") < day).groupBy("product_id", "chain").agg(F.max_by("price", "data_date").alias("last_price"))
+    moved = F.col("last_price").isNull() | (F.abs(F.col("price") - F.col("last_price")) > p.price_epsilon)
+    return credible_today(same).filter(F.col("data_date") == day).join(last, ["product_id", "chain"], "left").filter(moved).select("data_date", "price_date", "product_id", "chain", "price")
 
 
 def recent_price_changes(history: DataFrame, same: DataFrame, p: Params = DEFAULTS) -> DataFrame:

@@ -13,7 +13,7 @@ from gondola.operators import baskets, catalog, checks, dims, index, prices, pro
 from gondola.params import Params
 from gondola.plans.demo import LAST_DAY
 from gondola.plans.registry import ORACLES, QUERIES, Tables, baskets_of, job
-from gondola.sources import ingest
+from gondola.sources import ingest, snapshots
 from gondola.sources.work import work_dir, written
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -51,6 +51,27 @@ job("s1_price_feed", f"SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_name |
 job("s2_feed_with_bad_rows", f"SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_name AS description, DATE '{LAST_DAY}' AS data_date FROM part WHERE p_partkey % 10 <> 0")(_feed_with_bad_rows)
 
 
+def _loaded_feed(t: Tables) -> DataFrame:
+    """The feed with bad rows, loaded in one pass over an earlier load; then a load with too many bad rows, which changes nothing."""
+    path, table = _path(t, "feed"), _path(t, "loaded")
+    rows = t.table("part").select(F.col("p_partkey").cast("string").alias("product_id"), F.when(F.col("p_partkey") % 10 == 0, F.concat("p_name", F.lit("|x"))).otherwise(F.col("p_name")).alias("description"))
+    rows.write.csv(f"{path}/a", sep="|", header=True, quote="\u0000")
+    rows.filter("product_id < '2'").select(F.upper("description").alias("description"), "product_id").filter("description NOT LIKE '%|%'").write.csv(f"{path}/b", sep="|", header=True)
+    ingest.load_price_feed(t.spark, [f"{path}/b"], LAST_DAY, ["product_id", "description"], table)
+    ingest.load_price_feed(t.spark, [f"{path}/a", f"{path}/b"], LAST_DAY, ["product_id", "description"], table, 10**9)
+    try:
+        ingest.load_price_feed(t.spark, [f"{path}/a"], LAST_DAY, ["product_id", "description"], table, 0)
+    except ingest.TooManyBadRecords:
+        return snapshots.read_partitions(t.spark, table)
+    raise AssertionError("a load with too many bad rows was committed")
+
+
+job(
+    "s2_loaded_feed",
+    f"SELECT *, DATE '{LAST_DAY}' AS data_date FROM (SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_name AS description FROM part WHERE p_partkey % 10 <> 0 UNION ALL SELECT CAST(p_partkey AS VARCHAR), upper(p_name) FROM part WHERE p_partkey % 10 <> 0 AND CAST(p_partkey AS VARCHAR) < '2')",
+)(_loaded_feed)
+
+
 def _by_day(t: Tables) -> DataFrame:
     return t.prices.groupBy("data_date", "company_id").agg(F.count("*").alias("n"))
 
@@ -82,6 +103,18 @@ def _without_expired(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path)
 
 
+def _committed(t: Tables) -> DataFrame:
+    """A table of all days; the last is replaced, another load of it is staged and never committed, early days expire."""
+    rows, path = _by_day(t), _path(t, "table")
+    last = rows.filter(f"data_date = '{LAST_DAY}'")
+    for df in (rows, last.withColumn("n", F.col("n") * 10), last.withColumn("n", F.col("n") * 10)):
+        snapshots.replace_partitions(df, path)
+    snapshots.stage(last.withColumn("n", -F.col("n")), path)
+    snapshots.drop_partitions(t.spark, path, "2024-01-03")
+    return snapshots.read_partitions(t.spark, path)
+
+
+job("s3_committed_partitions", f"SELECT data_date, company_id, CASE WHEN data_date = DATE '{LAST_DAY}' THEN n * 10 ELSE n END AS n FROM {_BY_DAY} WHERE data_date >= DATE '2024-01-03'")(_committed)
 job("s3_replaced_partition", f"SELECT data_date, company_id, CASE WHEN data_date = DATE '{LAST_DAY}' THEN n * 10 ELSE n END AS n FROM {_BY_DAY}")(_replaced)
 job("s18_appended_history", f"SELECT data_date, company_id, CASE WHEN data_date >= DATE '2024-01-04' THEN -n ELSE n END AS n FROM {_BY_DAY}")(_appended)
 job("s15_expired_rows", f"SELECT * FROM {_BY_DAY} WHERE data_date >= DATE '2024-01-05'")(lambda t: ingest.expire_partitions(_by_day(t), "2024-01-08", 3))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -11,12 +12,12 @@ from pyspark.sql import types as T
 
 from gondola.functions import text
 from gondola.functions.geo import haversine_km
-from gondola.operators import baskets, catalog, checks, dims, index, prices, promos
+from gondola.operators import baskets, catalog, checks, dims, index, price_state, prices, promos
 from gondola.params import Params
 from gondola.plans.demo import LAST_DAY, view
 from gondola.plans.sqltwins import twin
 from gondola.sources import ingest
-from gondola.sources.work import written
+from gondola.sources.work import work_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,13 +132,23 @@ def _stored(t: Tables) -> DataFrame:
 
 
 _STORED = "(SELECT data_date, data_date AS price_date, product_id, chain, median_price * CAST(0.9 AS DOUBLE) AS price FROM product_chain WHERE data_date IN (DATE '2024-01-02', DATE '2024-01-04', DATE '2024-01-06'))"
-job(
-    "k20_price_history_update",
-    f"""
+_K20 = f"""
 SELECT s.data_date, s.price_date, s.product_id, s.chain, s.median_price AS price FROM same_product s
 LEFT JOIN (SELECT product_id, chain, max_by(price, data_date) AS last FROM {_STORED} WHERE data_date < DATE '{LAST_DAY}' GROUP BY ALL) h USING (product_id, chain)
-WHERE credible AND (last IS NULL OR abs(s.median_price - last) > CAST(0.005 AS DOUBLE))""",
-)(lambda t: prices.price_history_update(t.same, _stored(t)))
+WHERE credible AND (last IS NULL OR abs(s.median_price - last) > CAST(0.005 AS DOUBLE))"""
+job("k20_price_history_update", _K20)(lambda t: prices.price_history_update(t.same_rows, _stored(t), LAST_DAY))
+
+
+def _from_state(t: Tables) -> DataFrame:
+    """The state as of the day before, made from the history once; then the last day in one step, twice: a replay is the same."""
+    root = f"{work_dir(t.spark)}/price-state-{uuid.uuid4().hex}"
+    price_state.rebuild_price_state(_stored(t), root, date(2024, 1, 6))
+    for _ in range(2):
+        changes = price_state.advance_price_state(prices.credible_today(t.same), root, LAST_DAY)
+    return changes
+
+
+job("k20_from_state", _K20)(_from_state)
 
 
 def _stored_with_today(t: Tables) -> DataFrame:
@@ -386,8 +397,47 @@ def _words(t: Tables) -> DataFrame:
     return t.table("part").select(F.substring_index("p_name", " ", 1).alias("a"), F.substring(F.substring_index("p_name", " ", -1), 1, 3).alias("b")).distinct().select(F.concat_ws(" ", "b", "a").alias("query_id"), F.concat_ws(" ", "b", "a").alias("text"))
 
 
-job("k71_bulk_search", None)(lambda t: catalog.bulk_search(_words(t), _products(t), 5))
-job("k72_pasted_lists", None)(
+def _words_of(text: str) -> str:
+    """Words of a text without accents or written units, as the search hears them."""
+    heard = f"lower({text})"
+    for letters, sound in (("ll", "y"), ("v", "b"), ("z", "s"), ("ce", "se"), ("ci", "si")):
+        heard = f"replace({heard}, '{letters}', '{sound}')"
+    return f"regexp_extract_all(regexp_replace({heard}, '(^|[^c])h', '\\1', 'g'), '[a-z0-9]+(?:[.,][0-9]+)?[a-z]*')"
+
+
+def _forms_of(word: str) -> str:
+    return f"CASE WHEN length({word}) > 3 THEN list_distinct([{word}, regexp_replace({word}, 'es$', ''), regexp_replace({word}, 's$', '')]) ELSE [{word}] END"
+
+
+def _hits(queries: str) -> str:
+    """Ranked hits of queries (query_id, text) that hold no sizes."""
+    begins = lambda words: f"len(list_filter(forms, lambda v: len(list_filter({words}, lambda w: len(list_filter(v, lambda x: starts_with(w, x))) > 0)) > 0)) = len(forms)"
+    touched = f"len(list_filter(cats, lambda w: len(list_filter(forms, lambda v: list_has_any({_forms_of('w')}, v))) > 0))"
+    return f"""
+(SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY category_match, visible DESC, whole_words DESC, chains DESC, length(description), description, product_id) AS INTEGER) AS rank, product_id, category_match, visible, whole_words, chains FROM (
+  SELECT query_id, product_id, description, chains, CASE {touched} WHEN 0 THEN 2 WHEN len(cats) THEN 0 ELSE 1 END AS category_match, {begins("vis")} AS visible,
+         len(list_filter(forms, lambda v: len(list_filter(vis, lambda w: list_has_any({_forms_of("w")}, v))) > 0)) = len(forms) AS whole_words
+  FROM (SELECT query_id, list_transform({_words_of("text")}, lambda w: {_forms_of("w")}) AS forms FROM {queries}) q,
+       (SELECT product_id, description, chains, {_words_of("concat_ws(' ', description, brand)")} AS vis, {_words_of("concat_ws(' ', description, brand, search_text, category)")} AS names, list_filter(list_distinct({_words_of("category")}), lambda w: length(w) > 2) AS cats
+        FROM summary JOIN (SELECT product_id, min(search_text) AS search_text FROM same_product GROUP BY product_id) USING (product_id)) p
+  WHERE len(forms) > 0 AND {begins("names")}))"""
+
+
+job("k71_bulk_search", f"SELECT * FROM {_hits("(SELECT DISTINCT concat(left(split_part(p_name, ' ', -1), 3), ' ', split_part(p_name, ' ', 1)) AS query_id, query_id AS text FROM part)")} WHERE rank <= 5")(lambda t: catalog.bulk_search(_words(t), _products(t), 5))
+#: Each size's parts as a pasted list, a line for each name; a line's place is that of its name among the list's.
+_LINES = "(SELECT p_size AS list_id, p_name AS search, CAST(row_number() OVER (PARTITION BY p_size ORDER BY p_name) - 1 AS INTEGER) AS line_no FROM (SELECT DISTINCT p_size, p_name FROM part))"
+_NAMED = f"(SELECT product_id, 0 AS rank FROM {_hits("(SELECT 'red widget' AS query_id, 'red widget' AS text)")} WHERE rank = 1)"
+job(
+    "k72_pasted_lists",
+    f"""
+SELECT list_id, line_no, concat(list_id, ' ', l.search) AS text, l.search, CAST(least(99, greatest(1, list_id)) AS INTEGER) AS quantity, coalesce(candidates, '') AS candidates
+FROM {_LINES} l LEFT JOIN (
+  SELECT search, string_agg(product_id, ',' ORDER BY rank) AS candidates FROM (
+    SELECT *, row_number() OVER (PARTITION BY search ORDER BY rank) AS n FROM (
+      SELECT search, product_id, min(rank) AS rank FROM (
+        SELECT query_id AS search, product_id, rank FROM {_hits("(SELECT DISTINCT p_name AS query_id, p_name AS text FROM part)")} WHERE rank <= 4 UNION ALL SELECT 'red widget', * FROM {_NAMED}) GROUP BY ALL))
+  WHERE n <= 3 GROUP BY search) USING (search)""",
+)(
     lambda t: catalog.resolve_pasted_lists(
         t.table("part").groupBy(F.col("p_size").alias("list_id")).agg(F.array_join(F.sort_array(F.collect_set(F.concat_ws(" ", F.col("p_size").cast("string"), F.col("p_name")))), "\n").alias("text")),
         _products(t), t.spark.createDataFrame([("red widget", "red widget")], "name string, text string"), catalog.resolve_staples(t.spark.createDataFrame([("red widget", "red widget")], "name string, text string"), _products(t)),

@@ -5,11 +5,12 @@ from __future__ import annotations
 from datetime import date as Date
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gondola.params import DEFAULTS, Params
+from gondola.sources.snapshots import commit, discard, stage
 
 OTHER = "Otros"
 #: Rows longer than their header that a load may drop.
@@ -20,40 +21,90 @@ class TooManyBadRecords(ValueError):
     pass
 
 
+def _files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The files that paths name, those in folders included."""
+    out = []
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = fs.listStatus(where)
+        names = [s.getPath() for s in found if s.isFile()]
+        out += [n.toString() for n in names if not n.getName().startswith(("_", "."))]
+    return out
+
+
 def _header(spark: SparkSession, path: str) -> list[str]:
-    line = spark.read.text(path).filter("trim(value) <> ''").first()
-    return [] if line is None else [c.strip().strip('"').lower() for c in line[0].lstrip("﻿").split("|")]
+    """Column names in a file's first line that isn't blank. Only that line is read, and no job runs."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    where = hadoop.fs.Path(path)
+    stream = where.getFileSystem(conf).open(where)
+    try:
+        codec = hadoop.io.compress.CompressionCodecFactory(conf).getCodec(where)
+        lines = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream if codec is None else codec.createInputStream(stream), "UTF-8"))
+        line = lines.readLine()
+        while line is not None and not line.strip():
+            line = lines.readLine()
+    finally:
+        stream.close()
+    return [] if line is None else [c.strip().strip('"').lower() for c in line.lstrip("\ufeff").split("|")]
+
+
+def _feed_rows(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
+    """Rows of all files, with `_long` true where a row has more fields than its header: one read for each distinct header."""
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for path in _files(spark, paths):
+        by_header.setdefault(tuple(_header(spark, path)), []).append(path)
+    rows = None
+    for names, own in by_header.items():
+        if not names:
+            continue
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, "_bad"]])
+        # Without pruning, or a row's length isn't seen.
+        one = spark.read.option("columnPruning", "false").csv(own, schema=schema, sep="|", header=True, multiLine=True, columnNameOfCorruptRecord="_bad", mode="PERMISSIVE", enforceSchema=True)
+        fields = F.size(F.split(F.regexp_replace("_bad", '"[^"]*"', ""), r"\|", -1))
+        # Spark refuses to read the flag alone; the second test is never true, but it reads a column beside the flag.
+        one = one.withColumn("_long", F.coalesce(fields > len(names), F.lit(False)) | (F.length(F.coalesce(F.col(names[0]), F.lit(""))) < 0))
+        one = one.select("_long", *(F.coalesce(F.col(c) if c in names else F.lit(None).cast("string"), F.lit("")).alias(c) for c in columns))
+        rows = one if rows is None else rows.unionByName(one)
+    if rows is None:
+        return spark.createDataFrame([], T.StructType([T.StructField("_long", T.BooleanType()), *(T.StructField(c, T.StringType()) for c in columns)]))
+    return rows
+
+
+def _too_many(bad: int, most: int) -> TooManyBadRecords:
+    return TooManyBadRecords(f"{bad} rows are longer than their header; at most {most} may be")
 
 
 def read_price_feed(spark: SparkSession, paths: list[str], data_date: Date | str, columns: list[str], max_bad_records: int | None = MAX_BAD_RECORDS) -> DataFrame:
     """Pipe-delimited files with a header each, by column name, all text, stamped with the date.
 
-    Short rows are filled with empty text, rows longer than the header are dropped (an error beyond max_bad_records; None
-    accepts any number), quoted
-    newlines, a byte-order mark and blank lines are read over; columns that a file lacks are empty.
+    Short rows are filled with empty text, rows longer than the header are dropped (an error beyond max_bad_records, which
+    a pass of its own counts; None accepts any number; load_price_feed counts while it writes), quoted newlines, a byte-order
+    mark and blank lines are read over; columns that a file lacks are empty. Files of one header are read together.
     """
-    frames = []
-    for path in paths:
-        names = _header(spark, path)
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, "_bad"]])
-        # Without pruning, or a row's length isn't seen.
-        rows = spark.read.option("columnPruning", "false").csv(path, schema=schema, sep="|", header=True, multiLine=True, columnNameOfCorruptRecord="_bad", mode="PERMISSIVE", enforceSchema=True)
-        fields = F.size(F.split(F.regexp_replace("_bad", '"[^"]*"', ""), r"\|", -1))
-        # Spark refuses to read the flag alone; the second test is never true, but it reads a column beside the flag.
-        rows = rows.withColumn("_long", F.coalesce(fields > len(names), F.lit(False)) | (F.length(F.coalesce(F.col(names[0]), F.lit(""))) < 0))
-        frames.append(rows.select("_long", *(F.coalesce(F.col(c) if c in names else F.lit(None).cast("string"), F.lit("")).alias(c) for c in columns)))
-    rows = frames[0]
-    for f in frames[1:]:
-        rows = rows.unionByName(f)
-    if max_bad_records is not None:
-        bad = rows.filter("_long").count()
-        if bad > max_bad_records:
-            raise TooManyBadRecords(f"{bad} rows are longer than their header; at most {max_bad_records} may be")
+    rows = _feed_rows(spark, paths, columns)
+    if max_bad_records is not None and (bad := rows.filter("_long").count()) > max_bad_records:
+        raise _too_many(bad, max_bad_records)
     return rows.filter("NOT _long").drop("_long").withColumn("data_date", F.lit(data_date).cast("date"))
 
 
+def load_price_feed(spark: SparkSession, paths: list[str], data_date: Date | str, columns: list[str], table: str, max_bad_records: int = MAX_BAD_RECORDS) -> dict[str, int]:
+    """S1 to S3 in one pass: the feed's rows into the table's partition of the date. Rows are counted while they are staged;
+    with too many bad ones, or none good, nothing is committed and readers keep the date as it was. Returns the counts."""
+    seen = Observation()
+    rows = _feed_rows(spark, paths, columns).observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if("_long").alias("bad"))
+    load = stage(rows.filter("NOT _long").drop("_long").withColumn("data_date", F.lit(data_date).cast("date")), table)
+    counts = {k: v or 0 for k, v in seen.get.items()}
+    if counts["bad"] > max_bad_records:
+        discard(spark, table, load)
+        raise _too_many(counts["bad"], max_bad_records)
+    commit(spark, table, load)
+    return counts
+
+
 def write_partition(df: DataFrame, path: str, date_col: str = "data_date") -> None:
-    """S3: replace the partitions that df holds, no others; an empty df is an error. Safe to repeat."""
+    """S3: replace the partitions that df holds, no others; an empty df is an error. Safe to repeat. Readers of the folder may
+    meet the moment between removal and rename; snapshots.replace_partitions has none."""
     if df.isEmpty():
         raise ValueError("nothing to write: the load is empty")
     append_history(df, path, date_col)
