@@ -309,18 +309,29 @@ def test_contaminated_finds_changed_words_at_each_place(spark):
     assert all(r["n_tokens"] >= min(12, r["item_tokens"]) and r["n_equal"] >= 0.75 * r["n_tokens"] for r in found)
 
 
-def plain_lm(texts, chosen):
-    """Both models' mean losses of each text, by dictionaries."""
+def plain_lm(texts, chosen, context):
+    """Both models' mean losses of each text, by dictionaries; target texts without their own words and pairs."""
     tokens = [re.findall(rb"^[ \t-\r]*[^ \t-\r]+[ \t-\r]*|[^ \t-\r]+[ \t-\r]*", t.encode()) for t in texts]
-    grams, words = [Counter(), Counter()], [Counter(), Counter()]
-    for t, own, c in zip(texts, tokens, chosen, strict=True):
+    words_in = [[w.strip() for w in own] for own in tokens]
+    grams, words, pairs = [Counter(), Counter()], [Counter(), Counter()], [Counter(), Counter()]
+    for own, c in zip(words_in, chosen, strict=True):
+        for m, times in ((0, int(c)), (1, 1)):
+            for w in own:
+                words[m][w] += times
+    number = {w: int(lm.words_of(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0]) for w in words[1]}
+    top = set(sorted(words[1], key=lambda w: (-words[1][w], number[w]))[:context])
+
+    def pairs_of(own):
+        return [(p, w if w in top else None) for p, w in zip(own, own[1:], strict=False) if p in top]
+
+    for t, own, c in zip(texts, words_in, chosen, strict=True):
         s = [0, 0, *(b + 1 for b in t.encode())]
         for m, times in ((0, int(c)), (1, 1)):
             for i in range(2, len(s)):
                 for n in range(1, 4):
                     grams[m][tuple(s[i - n + 1 : i + 1])] += times
-            for w in own:
-                words[m][w.strip()] += times
+            for x in pairs_of(own):
+                pairs[m][x] += times
     vocabulary = len({g for g in grams[1] if len(g) == 1})
     contexts = [defaultdict(lambda: [0, 0]) for _ in grams]
     for m in (0, 1):
@@ -334,27 +345,39 @@ def plain_lm(texts, chosen):
         total, kinds = contexts[m][len(g), g[:-1]]
         return lower if not total else (grams[m][g] + kinds * lower) / (total + kinds)
 
-    def loss(m, text, own):
+    def loss(m, text, parts, own, without):
         s, i, out = [0, 0, *(b + 1 for b in text.encode())], 2, 0.0
         n, kinds = sum(words[m].values()), sum(c > 0 for c in words[m].values())
-        for w in own:
-            spelled = math.exp(sum(math.log(p(m, tuple(s[j - 2 : j + 1]))) for j in range(i, i + len(w))))
-            out -= math.log((words[m][w.strip()] + kinds * spelled) / (n + kinds) if kinds else spelled)
-            i += len(w)
+        outside = (n - sum(words[m][w] for w in top) + kinds) / (n + kinds) if kinds else 1.0
+        mine, mine_pairs = Counter(own if without else ()), Counter(pairs_of(own) if without else ())
+        for j, (part, w) in enumerate(zip(parts, own, strict=True)):
+            spelled = math.exp(sum(math.log(p(m, tuple(s[k - 2 : k + 1]))) for k in range(i, i + len(part))))
+            one = (words[m][w] - mine[w] + kinds * spelled) / (n - sum(mine.values()) + kinds) if kinds else spelled
+            before = own[j - 1] if j else None
+            followers = {f: c for (x, f), c in pairs[m].items() if x == before and c > 0}
+            if before in top and followers:
+                f = w if w in top else None
+                less = sum(c for (x, _), c in mine_pairs.items() if x == before)
+                seen = followers.get(f, 0) - mine_pairs[before, f]
+                share = seen if f is not None else seen * one / outside
+                one = (share + len(followers) * one) / (sum(followers.values()) - less + len(followers))
+            out -= math.log(one)
+            i += len(part)
         return out / max(1, len(own))
 
-    return [[loss(m, t, own) for m in (0, 1)] for t, own in zip(texts, tokens, strict=True)]
+    return [[loss(m, t, parts, own, c and m == 0) for m in (0, 1)] for t, parts, own, c in zip(texts, tokens, words_in, chosen, strict=True)]
 
 
-@pytest.mark.parametrize("head,targets", [(lm.HEAD_WORDS, True), (20, True), (0, True), (20, False)])
-def test_cross_entropy_difference(spark, sample, head, targets):
+@pytest.mark.parametrize("head,targets,context", [(lm.HEAD_WORDS, True, 512), (20, True, 6), (0, True, 3), (20, False, 6), (20, True, 0)])
+def test_cross_entropy_difference(spark, sample, head, targets, context, monkeypatch):
+    monkeypatch.setattr(lm, "CONTEXT_WORDS", context)
     texts = [t[:150] for _, t in sample[:12]] + ["", None, "é", "a", "  \n", "  b  a\n", sample[0][1][:150]]
     chosen = [targets and k % 3 == 0 for k in range(len(texts))]
     docs = docs_of(spark, texts).withColumns({"gram": F.lit(1), "word": F.lit(2)})
     target = spark.createDataFrame([(k,) for k, c in enumerate(chosen) if c], "doc_id long")
     found = by_id(lm.cross_entropy_difference(docs, target, head))
     assert set(found) == set(range(len(texts)))
-    for k, (t, (a, b)) in enumerate(zip(texts, plain_lm([t or "" for t in texts], chosen), strict=True)):
+    for k, (t, (a, b)) in enumerate(zip(texts, plain_lm([t or "" for t in texts], chosen, context), strict=True)):
         if not (t or "").strip():
             assert found[k]["n_tokens"] == 0 and found[k]["ce_difference"] is None
         else:
@@ -362,6 +385,17 @@ def test_cross_entropy_difference(spark, sample, head, targets):
     assert lm.cross_entropy_difference(docs.limit(0), target).count() == 0
 
 
+def test_cross_entropy_separates_held_out_labels(spark):
+    """The area under the curve of -ce_difference for quality, on labelled documents that the target doesn't hold."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    target = labels.filter("quality = 1 AND doc_id % 2 = 0").select("doc_id")
+    rows = lm.cross_entropy_difference(docs, target).join(labels, "doc_id").filter("ce_difference IS NOT NULL").select("doc_id", "quality", "ce_difference").collect()
+    for held_out, least in ((True, 0.97), (False, 0.97)):
+        good, bad = ([-r["ce_difference"] for r in rows if r["quality"] == q and (r["doc_id"] % 2 == 1) == held_out] for q in (1, 0))
+        auc = np.mean([[(g > b) + 0.5 * (g == b) for b in bad] for g in good])
+        assert len(good) > 50 and len(bad) > 20 and auc >= least, auc
+
+
 def test_quality_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality.train(docs, labels)
