@@ -9,7 +9,7 @@ from gondola.functions.stats import geometric_mean, median
 from gondola.functions.text import FILLERS, list_line, list_lines, search_form, search_words, searchable_sizes, variants
 from gondola.operators.prices import _wins
 from gondola.params import DEFAULTS, Params
-from gondola.sources.work import written
+from gondola.sources.work import small, written
 
 PRODUCT = ["product_id", "description", "brand", "category", "chains", "companies", "lowest", "highest", "gap_pct", "chains_discarded", "qty", "unit"]
 
@@ -34,7 +34,7 @@ def carried_chains(same: DataFrame) -> DataFrame:
 
 def who_wins_in_zone(same: DataFrame, zone_chains: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """who_wins among the chains of each zone (zone_id, chain)."""
-    return _wins(same.join(F.broadcast(zone_chains), "chain"), p, ("zone_id",))
+    return _wins(same.join(small(zone_chains), "chain"), p, ("zone_id",))
 
 
 def category_leaders(wins: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def sibling_price_rules(same: DataFrame, chain_map: DataFrame, chains: DataFrame
     owner = chain_map.select("chain", "company_id").distinct()
     pairs = chains.select("chain").join(owner, "chain").join(owner.withColumnRenamed("chain", "sibling"), "company_id").filter("chain <> sibling").select("chain", "sibling")
     prices = same.filter("credible AND median_price > 0").select("product_id", "chain", "median_price")
-    ratios = prices.join(F.broadcast(pairs), "chain").join(prices.select("product_id", F.col("chain").alias("sibling"), F.col("median_price").alias("sibling_price")), ["product_id", "sibling"]).withColumn("ratio", F.col("median_price") / F.col("sibling_price"))
+    ratios = prices.join(small(pairs), "chain").join(prices.select("product_id", F.col("chain").alias("sibling"), F.col("median_price").alias("sibling_price")), ["product_id", "sibling"]).withColumn("ratio", F.col("median_price") / F.col("sibling_price"))
     tol = p.equal_tolerance
     pct = lambda cond: F.round(F.count_if(cond) / F.count("*") * 100, 1)
     per = ratios.groupBy("chain", "sibling").agg(F.count("*").alias("products"), pct(F.col("ratio") < 1 - tol).alias("pct_cheaper"), pct(F.abs(F.col("ratio") - 1) <= tol).alias("pct_equal"), pct(F.col("ratio") > 1 + tol).alias("pct_dearer")).filter(F.col("products") >= p.min_rule_products)
@@ -108,7 +108,7 @@ def popular_by_category(same: DataFrame, k: int = 4) -> DataFrame:
 
 def merge_equal_formats(same: DataFrame, format_map: DataFrame) -> DataFrame:
     """Banners of one group (chain, group_name) with the same price in cents, credibility and date as one row."""
-    rows = same.join(F.broadcast(format_map), "chain", "left").withColumn("group_name", F.coalesce("group_name", "chain"))
+    rows = same.join(small(format_map), "chain", "left").withColumn("group_name", F.coalesce("group_name", "chain"))
     keys = ["product_id", "group_name", F.round(F.col("median_price") * 100).cast("long").alias("cents"), "credible", "price_date"]
     out = rows.groupBy(*keys).agg(F.sort_array(F.collect_set("chain")).alias("chains"), F.min("median_price").alias("price"), F.sum("stores").alias("stores"), F.min("min_price").alias("min_price"), F.max("max_price").alias("max_price"))
     return out.select("product_id", "chains", "price", "stores", "min_price", "max_price", "credible", "price_date")
@@ -116,7 +116,7 @@ def merge_equal_formats(same: DataFrame, format_map: DataFrame) -> DataFrame:
 
 def zone_price_summary(same: DataFrame, zone_chains: DataFrame) -> DataFrame:
     """Cheapest and dearest credible chains of each product in each zone."""
-    rows = same.filter("credible").join(F.broadcast(zone_chains), "chain")
+    rows = same.filter("credible").join(small(zone_chains), "chain")
     w = Window.partitionBy("zone_id", "product_id")
     rows = rows.withColumns({"low": F.min("median_price").over(w), "high": F.max("median_price").over(w)})
     names = lambda c: F.sort_array(F.collect_set(F.when(F.col("median_price") == F.col(c), F.col("chain"))))
@@ -126,7 +126,7 @@ def zone_price_summary(same: DataFrame, zone_chains: DataFrame) -> DataFrame:
 def product_headline(summary: DataFrame, same: DataFrame, zone_chains: DataFrame, near_pct: float = 1.0) -> DataFrame:
     """What to say of each product in each zone and, with a null zone, in the country."""
     zones = zone_chains.select("zone_id").distinct()
-    sold = same.join(F.broadcast(zone_chains), "chain").select("zone_id", "product_id").distinct().withColumn("sold", F.lit(True))
+    sold = same.join(small(zone_chains), "chain").select("zone_id", "product_id").distinct().withColumn("sold", F.lit(True))
     z = zone_price_summary(same, zone_chains).withColumn("zone_gap", F.round((F.col("max_price") - F.col("price")) / F.col("price") * 100, 1))
     by_gap = lambda low, high, gap: F.when(low == high, "igual").when(gap < near_pct, "casi_igual").otherwise("diferencia")
     every = summary.select("product_id", "lowest", "highest", "gap_pct", "extremes_backed").crossJoin(F.broadcast(zones))
@@ -207,7 +207,7 @@ def resolve_pasted_lists(lists: DataFrame, products: DataFrame, staples: DataFra
     lines = lines.withColumns({"search": search, "quantity": qty}).withColumn("query_id", F.concat_ws("/", F.col("list_id").cast("string"), F.col("line_no").cast("string")))
     hits = bulk_search(lines.select("query_id", F.col("search").alias("text")), products, k + 1).select("query_id", "product_id", "rank")
     named = staples.join(resolved, "name").select(_staple_key(F.col("name")).alias("key"), "product_id")
-    first = lines.withColumn("key", _staple_key(F.col("search"))).join(F.broadcast(named), "key").select("query_id", "product_id", F.lit(0).alias("rank"))
+    first = lines.withColumn("key", _staple_key(F.col("search"))).join(small(named), "key").select("query_id", "product_id", F.lit(0).alias("rank"))
     best = hits.unionByName(first).groupBy("query_id", "product_id").agg(F.min("rank").alias("rank"))
     chosen = best.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter(F.col("n") <= k).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "product_id"))), lambda x: x["product_id"]).alias("candidates"))
     return lines.join(chosen, "query_id", "left").select("list_id", "line_no", "text", "search", "quantity", F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gondola.functions.geo import haversine_km, in_polygon, within_km
 from gondola.functions.text import fold
 from gondola.params import DEFAULTS, Params
+from gondola.sources.work import small
 
 PROVINCE_CODE = r"^AR-[A-Z]$"
 #: Names under which a province stands in the locality column, folded.
@@ -48,6 +49,11 @@ def named_province(locality):
     return out
 
 
+def store_address(street: Column, number: Column) -> Column:
+    """street and number as one text; null without either."""
+    return F.nullif(F.trim(F.concat_ws(" ", F.nullif(street, F.lit("")), F.nullif(number, F.lit("")))), F.lit(""))
+
+
 def clean_companies(raw: DataFrame) -> DataFrame:
     """Rows with both keys."""
     return raw.filter("trim(company_id) <> '' AND trim(banner_id) <> ''").select("company_id", "banner_id", "tax_id", "legal_name", "banner_name")
@@ -61,7 +67,7 @@ def clean_stores(raw: DataFrame) -> DataFrame:
 def company_dimension(raw: DataFrame, chain_map: DataFrame) -> DataFrame:
     """K3: companies with chain, format and whether they report daily; defaults where the map has no row."""
     names = chain_map.select(F.col("company_id").cast("string").alias("company_id"), F.col("banner_id").cast("string").alias("banner_id"), F.col("chain").alias("mapped"), F.col("format").alias("mapped_format"), F.col("reports_daily").alias("mapped_daily"))
-    rows = clean_companies(raw).join(F.broadcast(names), ["company_id", "banner_id"], "left")
+    rows = clean_companies(raw).join(small(names), ["company_id", "banner_id"], "left")
     return rows.select("company_id", "banner_id", "tax_id", "legal_name", "banner_name", F.coalesce("mapped", F.trim("banner_name")).alias("chain"), F.coalesce("mapped_format", F.lit("supermercado")).alias("format"), F.coalesce("mapped_daily", F.lit(True)).alias("reports_daily"))
 
 

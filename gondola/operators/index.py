@@ -11,28 +11,25 @@ from gondola.params import DEFAULTS, Params
 
 def month_chain(history: DataFrame, month: str | None = None) -> DataFrame:
     """The links (data_date, base_date) from the month's last date back, while the base is in the month; the last link
-    may end in the month before. A gap cuts the chain. month: yyyy-mm, or None for the latest. The links are one row a day,
-    whatever the number of prices, so they become a local table and the recursion walks at most a month of them."""
-    spark = history.sparkSession
-    found = history.filter("factor IS NOT NULL").select("data_date", "base_date").distinct()
-    links = spark.createDataFrame(found.collect(), found.schema)
-    within = links if month is None else links.filter(F.date_format("data_date", "yyyy-MM") == month)
-    limits = within.agg(F.max("data_date").alias("last")).select("last", F.trunc("last", "month").alias("month"))
-    return spark.sql(
-        """
-        WITH RECURSIVE links AS (SELECT * FROM {links}), limits AS (SELECT * FROM {limits}),
-        walk (data_date, base_date, month) AS (
-            SELECT l.data_date, l.base_date, m.month FROM links l JOIN limits m ON l.data_date = m.last
-            UNION ALL
-            SELECT l.data_date, l.base_date, w.month FROM walk w JOIN links l ON l.data_date = w.base_date WHERE w.base_date >= w.month
-        )
-        SELECT data_date, base_date, min(base_date) OVER () AS period_start, max(data_date) OVER () AS period_end,
-               count(*) OVER () AS expected_links, month, min(base_date) OVER () < month AS from_month_start
-        FROM walk
-        """,
-        links=links,
-        limits=limits,
-    )
+    may end in the month before. A gap cuts the chain. month: yyyy-mm, or None for the latest. The distinct links are one or
+    two a day, whatever the number of prices, so one row holds them and folds them into the chain; no job runs before the
+    result's own."""
+    links = history.filter("factor IS NOT NULL").select("data_date", "base_date")
+    if month is not None:
+        links = links.filter(F.date_format("data_date", "yyyy-MM") == month)
+    link = "struct<data_date:date,base_date:date>"
+    one = links.agg(F.sort_array(F.collect_set(F.struct("data_date", "base_date")), asc=False).alias("links")).withColumn("last", F.get("links", F.lit(0))["data_date"]).withColumn("month", F.trunc("last", "month"))
+
+    def step(acc, x):
+        reached = F.when(x["base_date"] >= F.col("month"), F.array_append(acc["reached"], x["base_date"])).otherwise(acc["reached"])
+        return F.when(F.array_contains(acc["reached"], x["data_date"]), F.struct(reached.alias("reached"), F.array_append(acc["chain"], x).alias("chain"))).otherwise(acc)
+
+    none = F.struct(F.array("last").alias("reached"), F.array().cast(f"array<{link}>").alias("chain"))
+    # Bases lie before their dates, so from the last date back each link comes after the one that leads to it.
+    walked = one.withColumn("chain", F.aggregate("links", none, step, lambda acc: acc["chain"]))
+    start = F.array_min(F.transform("chain", lambda x: x["base_date"]))
+    whole = walked.select(F.explode("chain").alias("x"), start.alias("period_start"), F.col("last").alias("period_end"), F.size("chain").cast("long").alias("expected_links"), "month")
+    return whole.select("x.data_date", "x.base_date", "period_start", "period_end", "expected_links", "month", (F.col("period_start") < F.col("month")).alias("from_month_start"))
 
 
 def _linked(history: DataFrame, month: str | None) -> DataFrame:

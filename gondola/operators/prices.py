@@ -27,18 +27,18 @@ def current_categories(classified: DataFrame) -> DataFrame:
 
 
 def product_chain_prices(prices: DataFrame, companies: DataFrame) -> DataFrame:
-    """Prices of a product in a chain on a day. Companies join on company and banner."""
+    """Prices of a product in a chain on a day. Companies join on company and banner. A group has a row for each of the
+    chain's stores, so its prices are gathered once and sorted; that takes one shuffle, where a distinct count beside exact
+    medians would take two and keep a tree for each group."""
     rows = prices.join(companies.select("company_id", "banner_id", "chain", "format"), ["company_id", "banner_id"])
-    return rows.groupBy("data_date", "product_id", "chain").agg(
-        F.min("company_id").alias("company_id"),
-        F.min("format").alias("format"),
-        lower_median("price").alias("median_price"),
-        F.min("price").alias("min_price"),
-        F.max("price").alias("max_price"),
-        F.countDistinct("store_id").alias("stores"),
-        lower_median("qty").alias("qty"),
-        F.min("unit").alias("unit"),
-    )
+    gathered = rows.groupBy("data_date", "product_id", "chain").agg(
+        F.min("company_id").alias("company_id"), F.min("format").alias("format"), F.sort_array(F.collect_list("price")).alias("paid"), F.collect_set("store_id").alias("stores"), F.sort_array(F.collect_list("qty")).alias("sizes"), F.min("unit").alias("unit")
+    )
+    middle = lambda c: F.get(c, F.floor((F.size(c) - 1) / 2).cast("int"))
+    return gathered.select(
+        "data_date", "product_id", "chain", "company_id", "format", middle("paid").alias("median_price"), F.get("paid", F.lit(0)).alias("min_price"), F.get("paid", F.size("paid") - 1).alias("max_price"),
+        F.size("stores").cast("long").alias("stores"), middle("sizes").alias("qty"), "unit",
+    )
 
 
 def with_package(categories: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -162,7 +162,9 @@ def _assessed(product_chain: DataFrame, date, p: Params = DEFAULTS) -> DataFrame
         return F.coalesce(F.exists("offers", agrees), F.lit(False))
 
     credible = F.transform("offers", lambda a: a.withField("credible", a["in_range"] | confirmed(a)))
-    return ranged.select("data_date", "product_id", "reference", credible.alias("offers"))
+    # Exploded as the one element of an array, the offers are computed once; a plain column's expression would be put into
+    # each of its uses, filters included.
+    return ranged.select("data_date", "product_id", "reference", F.explode(F.array(credible)).alias("offers"))
 
 
 def assessed_prices(product_chain: DataFrame, date, p: Params = DEFAULTS) -> DataFrame:

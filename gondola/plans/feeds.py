@@ -19,7 +19,7 @@ from gondola.sources.work import work_dir, written
 __all__ = ["ORACLES", "QUERIES"]
 
 
-def _path(t: Tables, name: str) -> str:
+def path_of(t: Tables, name: str) -> str:
     return f"{work_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -34,14 +34,14 @@ def _feed_rows(t: Tables) -> DataFrame:
 
 def _feed(t: Tables) -> DataFrame:
     """Parts as a pipe-delimited feed with quoted line feeds, read back; one column isn't in the files."""
-    path = _path(t, "feed")
+    path = path_of(t, "feed")
     _feed_rows(t).write.csv(path, sep="|", header=True, quoteAll=True, emptyValue="")
     return ingest.read_price_feed(t.spark, [path], LAST_DAY, [*_FEED, "promo"])
 
 
 def _feed_with_bad_rows(t: Tables) -> DataFrame:
     """Every tenth row has one field too many."""
-    path = _path(t, "feed")
+    path = path_of(t, "feed")
     rows = t.table("part").select(F.col("p_partkey").cast("string").alias("product_id"), F.when(F.col("p_partkey") % 10 == 0, F.concat("p_name", F.lit("|x"))).otherwise(F.col("p_name")).alias("description"))
     rows.write.csv(path, sep="|", header=True, quote="\u0000")
     return ingest.read_price_feed(t.spark, [path], LAST_DAY, ["product_id", "description"], None)
@@ -53,7 +53,7 @@ job("s2_feed_with_bad_rows", f"SELECT CAST(p_partkey AS VARCHAR) AS product_id,
 
 def _loaded_feed(t: Tables) -> DataFrame:
     """The feed with bad rows, loaded in one pass over an earlier load; then a load with too many bad rows, which changes nothing."""
-    path, table = _path(t, "feed"), _path(t, "loaded")
+    path, table = path_of(t, "feed"), path_of(t, "loaded")
     rows = t.table("part").select(F.col("p_partkey").cast("string").alias("product_id"), F.when(F.col("p_partkey") % 10 == 0, F.concat("p_name", F.lit("|x"))).otherwise(F.col("p_name")).alias("description"))
     rows.write.csv(f"{path}/a", sep="|", header=True, quote="\u0000")
     rows.filter("product_id < '2'").select(F.upper("description").alias("description"), "product_id").filter("description NOT LIKE '%|%'").write.csv(f"{path}/b", sep="|", header=True)
@@ -80,7 +80,7 @@ _BY_DAY = "(SELECT data_date, company_id, count(*) AS n FROM demo_prices GROUP B
 
 
 def _kept_history(t: Tables, *batches: DataFrame, write=ingest.append_history) -> tuple[DataFrame, str]:
-    path = _path(t, "history")
+    path = path_of(t, "history")
     for b in batches:
         write(b, path)
     return t.spark.read.parquet(path), path
@@ -105,7 +105,7 @@ def _without_expired(t: Tables) -> DataFrame:
 
 def _committed(t: Tables) -> DataFrame:
     """A table of all days; the last is replaced, another load of it is staged and never committed, early days expire."""
-    rows, path = _by_day(t), _path(t, "table")
+    rows, path = _by_day(t), path_of(t, "table")
     last = rows.filter(f"data_date = '{LAST_DAY}'")
     for df in (rows, last.withColumn("n", F.col("n") * 10), last.withColumn("n", F.col("n") * 10)):
         snapshots.replace_partitions(df, path)
@@ -128,7 +128,7 @@ SELECT company_id, store_id, CASE WHEN CAST(company_id AS INTEGER) < 4 THEN uppe
 
 def _classified(t: Tables) -> DataFrame:
     """Two loads of classifications; the second has one more column."""
-    path = _path(t, "classified")
+    path = path_of(t, "classified")
     rows = t.categories.select("product_id", "category")
     ingest.append_classification(rows, path)
     ingest.append_classification(rows.filter("category = 'PROMO'").withColumns({"category": F.lit("again"), "model": F.lit("m")}), path)
@@ -151,7 +151,7 @@ job("s8_applied_taxonomy", "SELECT product_id, CASE WHEN category IN ('PROMO', '
 
 
 def _seed(t: Tables) -> DataFrame:
-    path = _path(t, "seed")
+    path = path_of(t, "seed")
     t.table("nation").select("n_nationkey", "n_name").write.csv(path, header=True)
     return ingest.read_seed(t.spark, path, "n_nationkey int, n_name string")
 
@@ -178,7 +178,7 @@ job("s19_change_log", f"SELECT CASE WHEN s_suppkey % 5 = 0 THEN DATE '2024-01-06
 
 
 def _wins_twice(t: Tables) -> DataFrame:
-    path = _path(t, "wins")
+    path = path_of(t, "wins")
     prices.who_wins_history(t.wins, [date(2024, 1, 2), date(2024, 1, 3)], path)
     return prices.who_wins_history(t.wins, [date(2024, 1, 3), date(2024, 1, 4)], path)
 
@@ -200,22 +200,22 @@ def _declared(t: Tables) -> DataFrame:
 
 _BY_UNIT = lambda k: "CASE p_partkey % 12 " + " ".join(f"WHEN {i} THEN {_SCALES[u][k]!r}" for i, u in enumerate(_UNITS) if u in _SCALES) + " END"
 job("f2_declared_sizes", f"SELECT p_partkey AS product_id, (p_size + CAST(0.5 AS DOUBLE)) * {_BY_UNIT(1)} AS qty, {_BY_UNIT(0)} AS unit FROM part")(_declared)
-_PIECES = (" X 12 UNIDADES", " MAPLE", " MEDIA DOCENA", " DOCENA", " X 6", " 24 U", "")
+PIECES = (" X 12 UNIDADES", " MAPLE", " MEDIA DOCENA", " DOCENA", " X 6", " 24 U", "")
 
 
 def _pieces(t: Tables) -> DataFrame:
-    text = F.concat(F.regexp_replace(F.upper("p_name"), "[0-9]", ""), F.get(F.array(*map(F.lit, _PIECES)), (F.col("p_partkey") % 7).cast("int")))
+    text = F.concat(F.regexp_replace(F.upper("p_name"), "[0-9]", ""), F.get(F.array(*map(F.lit, PIECES)), (F.col("p_partkey") % 7).cast("int")))
     rows = t.table("part").select(F.col("p_partkey").alias("product_id"), pieces_in_text(text).alias("pieces"), (F.col("p_partkey") % 2 == 0).alias("per_piece"))
     return rows.select("product_id", "pieces", effective_qty(F.lit(1.0), F.lit("unidad"), F.col("per_piece"), F.col("pieces")).alias("qty"))
 
 
-_COUNT = "CASE p_partkey % 7 WHEN 0 THEN 12 WHEN 1 THEN 30 WHEN 2 THEN 6 WHEN 3 THEN 12 WHEN 4 THEN 6 WHEN 5 THEN 24 END"
-job("f4_pieces", f"SELECT p_partkey AS product_id, {_COUNT} AS pieces, CASE WHEN p_partkey % 2 = 0 THEN CAST({_COUNT} AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS qty FROM part")(_pieces)
+COUNT_OF_PIECES = "CASE p_partkey % 7 WHEN 0 THEN 12 WHEN 1 THEN 30 WHEN 2 THEN 6 WHEN 3 THEN 12 WHEN 4 THEN 6 WHEN 5 THEN 24 END"
+job("f4_pieces", f"SELECT p_partkey AS product_id, {COUNT_OF_PIECES} AS pieces, CASE WHEN p_partkey % 2 = 0 THEN CAST({COUNT_OF_PIECES} AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS qty FROM part")(_pieces)
 
 # Places, zones and households
 
 
-def _polygons(t: Tables) -> DataFrame:
+def polygons(t: Tables) -> DataFrame:
     """Seven stripes of two hundredths of a degree of longitude; they leave out the northern half."""
     stripe = lambda i: f"POLYGON (({x} -34.655, {x + 0.02} -34.655, {x + 0.02} -34.505, {x} -34.505, {x} -34.655))" if (x := -58.405 + 0.02 * i) else ""
     return t.spark.createDataFrame([(f"barrio {i}", stripe(i)) for i in range(7)], "neighbourhood string, wkt string")
@@ -226,7 +226,7 @@ job(
     """
 SELECT CAST(s_suppkey % 7 AS VARCHAR) AS company_id, CAST(s_suppkey AS VARCHAR) AS store_id, CASE WHEN s_suppkey % 20 < 10 THEN concat('barrio ', CAST((s_suppkey % 13) // 2 AS VARCHAR)) END AS neighbourhood
 FROM supplier WHERE s_nationkey % 5 = 2""",
-)(lambda t: dims.store_neighbourhood(t.stores, _polygons(t)))
+)(lambda t: dims.store_neighbourhood(t.stores, polygons(t)))
 job(
     "k88_search_zones",
     """

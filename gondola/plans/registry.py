@@ -17,7 +17,7 @@ from gondola.params import Params
 from gondola.plans.demo import LAST_DAY, view
 from gondola.plans.sqltwins import twin
 from gondola.sources import ingest
-from gondola.sources.work import work_dir, written
+from gondola.sources.work import shared, work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,20 +52,21 @@ JOBS: dict[str, Callable[[Tables], DataFrame]] = {
     "pairs": _day_pairs,
     "factors": lambda t: prices.paired_price_index(t.unit_prices, t.pairs),
     "mart": lambda t: prices.chain_category_mart(t.levels, t.factors),
-    "history": lambda t: written(t.mart, "history"),
+    "history": lambda t: shared(("history", t.sf_dir), lambda: t.mart, "history"),
     "wins": lambda t: prices.who_wins(t.product_chain, t.categories),
     "same_rows": lambda t: prices.same_product(t.product_chain, t.categories, None, LAST_DAY),
     # Most jobs read the same-product table several times, in branches that differ too much for Spark to share.
-    "same": lambda t: written(t.same_rows, "same"),
+    "same": lambda t: shared(("same", t.sf_dir), lambda: t.same_rows, "same"),
     "locality_prices": lambda t: prices.category_locality_prices(t.prices, t.categories, t.tiers, t.stores, t.chains, LAST_DAY),
-    "store_prices": lambda t: prices.category_store_prices(t.prices, t.categories, t.tiers, t.stores, t.chains, LAST_DAY),
+    "store_rows": lambda t: prices.category_store_prices(t.prices, t.categories, t.tiers, t.stores, t.chains, LAST_DAY),
+    "store_prices": lambda t: shared(("store_prices", t.sf_dir), lambda: t.store_rows, "store_prices"),
     "evidence": lambda t: promos.promo_evidence(t.promos, LAST_DAY),
     "valid": lambda t: promos.valid_promos(t.evidence),
     "promos_now": lambda t: promos.current_promos(t.valid, t.categories, t.stores, t.chains),
     "on_map": lambda t: dims.map_stores(t.stores, t.chains),
     "promos_mapped": lambda t: promos.map_promos(t.valid, t.on_map, t.categories),
     "summary": lambda t: catalog.product_summary(t.same),
-    "zone_chains": lambda t: t.on_map.select(F.col("locality").alias("zone_id"), "chain").distinct(),
+    "zone_chains": lambda t: shared(("zone_chains", t.sf_dir), lambda: t.on_map.select(F.col("locality").alias("zone_id"), "chain").distinct(), "zones"),
     "lists": lambda t: t.table("lineitem").groupBy(F.col("l_orderkey").alias("list_id"), F.col("l_partkey").cast("string").alias("product_id")).agg(F.max("l_quantity").cast("int").alias("quantity")),
     "basket": lambda t: t.spark.createDataFrame([(c, 10.0, u) for c in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD") for u in ("g",)], "category string, quantity double, unit string"),
     "points": lambda t: t.table("supplier").select(F.col("s_suppkey").cast("string").alias("basket_id"), (F.lit(-34.6) + (F.col("s_suppkey") % 9) * 0.01).alias("lat"), (F.lit(-58.4) + (F.col("s_suppkey") % 7) * 0.01).alias("lon"), F.lit(3).alias("max_stores")),
@@ -123,7 +124,7 @@ SELECT product_id, description, brand, search_text FROM (
   LEFT JOIN (SELECT product_id, min(upper(trim(brand))) AS brand FROM demo_promos WHERE data_date = DATE '{LAST_DAY}' GROUP BY product_id) b USING (product_id) GROUP BY n.product_id)""",
 )(lambda t: prices.product_names(t.promos, t.prices.select("product_id"), LAST_DAY))
 job("k22_category_locality_prices", "SELECT * FROM locality_prices")(lambda t: t.locality_prices)
-job("k23_category_store_prices", "SELECT * FROM store_prices")(lambda t: t.store_prices)
+job("k23_category_store_prices", "SELECT * FROM store_prices")(lambda t: t.store_rows)
 
 
 def _stored(t: Tables) -> DataFrame:
@@ -240,12 +241,12 @@ job(
     "k36_promos_in_box",
     """
 SELECT * EXCLUDE (r) FROM (SELECT *, count(*) OVER (PARTITION BY box_id) > 100 AS has_more, row_number() OVER (PARTITION BY box_id ORDER BY discount_pct DESC, promo_price, description, product_id, list_price, legend NULLS FIRST, promo_kind) AS r FROM (
-  SELECT box_id, product_id, promo_price, list_price, discount_pct, description, legend, promo_kind, count(DISTINCT s.store_key) AS total_stores
+  SELECT box_id, product_id, promo_price, list_price, discount_pct, description, legend, promo_kind, count(DISTINCT s.store_key) AS total_stores, string_agg(DISTINCT s.store_key, ',' ORDER BY s.store_key) AS stores
   FROM (SELECT *, unnest(string_split(stores, ',')) AS store_key FROM promos_mapped) p JOIN on_map s USING (store_key)
   JOIN (VALUES (1, -34.6, -34.5, NULL, NULL, NULL, NULL), (2, NULL, NULL, -58.4, -58.36, 'AR-A', NULL), (3, -34.6, -34.4, -58.4, -58.3, NULL, 'red')) b(box_id, south, north, west, east, bp, txt)
     ON coalesce(s.lat BETWEEN CAST(south AS DOUBLE) AND CAST(north AS DOUBLE), true) AND coalesce(s.lon BETWEEN CAST(west AS DOUBLE) AND CAST(east AS DOUBLE), true) AND coalesce(s.province = bp, true) AND coalesce(contains(lower(description), txt), true)
   GROUP BY box_id, product_id, promo_price, list_price, discount_pct, description, legend, promo_kind, p.data_date, p.brand, p.evidence, p.multi_buy, p.category, p.section)) WHERE r <= 100""",
-    "box_id, product_id, promo_price, list_price, discount_pct, description, legend, promo_kind, total_stores, has_more",
+    "box_id, product_id, promo_price, list_price, discount_pct, description, legend, promo_kind, total_stores, stores, has_more",
 )(lambda t: promos.promos_in_box(t.promos_mapped, t.on_map, _boxes(t)))
 
 
@@ -263,19 +264,19 @@ _NEAR = """
 job(
     "k37_promos_near",
     f"""
-SELECT point_id, product_id, chain, promo_price, list_price, discount_pct, legend, evidence, until AS valid_until, multi_buy, rank, round(km, 1) AS distance_km FROM (
+SELECT point_id, product_id, chain, store_key, others AS other_stores, promo_price, list_price, discount_pct, legend, evidence, until AS valid_until, multi_buy, rank, round(km, 1) AS distance_km FROM (
   SELECT *, row_number() OVER (PARTITION BY point_id, product_id ORDER BY promo_price, round(km, 1), chain) AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY point_id, product_id, chain ORDER BY promo_price, round(km, 1), store_key, promo) AS best FROM {_NEAR} WHERE n = 1) WHERE best = 1) WHERE rank <= 3""",
-    "point_id, product_id, chain, promo_price, list_price, discount_pct, legend, evidence, valid_until, multi_buy, rank, distance_km",
+    "point_id, product_id, chain, store_key, other_stores, promo_price, list_price, discount_pct, legend, evidence, valid_until, multi_buy, rank, distance_km",
 )(lambda t: promos.promos_near(t.promos_mapped, t.on_map, _requests(t), "2024-01-19"))
 job(
     "k40_worthwhile_promos",
     f"""
-SELECT point_id, product_id, chain, promo_price, rank FROM (
+SELECT point_id, product_id, chain, store_key, others AS other_stores, promo_price, list_price, discount_pct, legend, evidence, until AS valid_until, multi_buy, rank, round(km, 1) AS distance_km FROM (
   SELECT *, row_number() OVER (PARTITION BY point_id, product_id ORDER BY promo_price, round(km, 1), chain) AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY point_id, product_id, chain ORDER BY promo_price, round(km, 1), store_key, promo) AS best FROM {_NEAR} WHERE n = 1) WHERE best = 1)
 LEFT JOIN (SELECT product_id, min(median_price) AS z FROM same_product WHERE credible GROUP BY product_id) USING (product_id) WHERE rank <= 3 AND (z IS NULL OR promo_price < z)""",
-    "point_id, product_id, chain, promo_price, rank",
+    "point_id, product_id, chain, store_key, other_stores, promo_price, list_price, discount_pct, legend, evidence, valid_until, multi_buy, rank, distance_km",
 )(lambda t: promos.worthwhile_promos(promos.promos_near(t.promos_mapped, t.on_map, _requests(t), "2024-01-19"), t.same.filter("credible").groupBy("product_id").agg(F.min("median_price").alias("zone_price")).withColumn("point_id", F.explode(F.sequence(F.lit(0), F.lit(4))))))
 
 # Index
@@ -462,10 +463,9 @@ FROM lists LEFT JOIN (SELECT product_id, min(median_price) AS low FROM same_prod
 job(
     "k81_quote_lists_in_zone",
     """
-SELECT list_id, zone_id, chain, total, priced, priced = n AS complete FROM (
-  SELECT list_id, zone_id, chain, CAST(round(sum(CAST(median_price * quantity AS DECIMAL(24,6))), 2) AS DOUBLE) AS total, count(*) AS priced, min(n) AS n
-  FROM (SELECT * FROM priced_lists JOIN zone_chains USING (chain)) JOIN (SELECT list_id, zone_id, count(DISTINCT product_id) AS n FROM priced_lists JOIN zone_chains USING (chain) GROUP BY ALL) USING (list_id, zone_id) GROUP BY list_id, zone_id, chain)""",
-    "list_id, zone_id, chain, total, priced, complete",
+SELECT list_id, zone_id, chain, total, priced, priced = n AS complete, missing FROM (
+  SELECT list_id, zone_id, chain, CAST(round(sum(CAST(median_price * quantity AS DECIMAL(24,6))), 2) AS DOUBLE) AS total, count(*) AS priced, min(n) AS n, array_to_string(list_sort(list_filter(min(e), lambda x: NOT list_contains(list(product_id), x))), ',') AS missing
+  FROM (SELECT * FROM priced_lists JOIN zone_chains USING (chain)) JOIN (SELECT list_id, zone_id, list(DISTINCT product_id) AS e, count(DISTINCT product_id) AS n FROM priced_lists JOIN zone_chains USING (chain) GROUP BY ALL) USING (list_id, zone_id) GROUP BY list_id, zone_id, chain)""",
 )(lambda t: baskets.quote_lists_in_zone(t.lists, t.same, t.zone_chains))
 
 
@@ -501,6 +501,35 @@ FROM (SELECT basket_id, count(*) AS asked FROM (SELECT DISTINCT basket_id, categ
 LEFT JOIN (SELECT basket_id, CAST(round(sum(CAST(cost AS DECIMAL(24,6))), 2) AS DOUBLE) AS total, count(*) AS priced, count(*) FILTER (price_origin = 'provincia') AS from_province FROM {_COSTS} GROUP BY basket_id) USING (basket_id)""",
 )(lambda t: baskets.basket_totals(baskets_of(t), baskets.basket_cost(baskets_of(t), _zones(t), t.locality_prices)))
 job("k84_best_store_combinations", None)(lambda t: baskets.best_store_combinations(*_baskets_at_points(t), t.store_prices))
+_NEAR_COSTS = """
+(SELECT p.lat, p.lon, tier, concat(s.company_id, '-', s.store_id) AS store, concat(category, '/', unit) AS item, median_unit_price * CAST(100 AS DOUBLE) AS cost
+ FROM (SELECT DISTINCT CAST(-34.6 AS DOUBLE) + (s_suppkey % 9) * CAST(0.01 AS DOUBLE) AS lat, CAST(-58.4 AS DOUBLE) + (s_suppkey % 7) * CAST(0.01 AS DOUBLE) AS lon FROM supplier) p
+ JOIN store_prices s ON 2 * CAST(6371.0088 AS DOUBLE) * asin(sqrt(pow(sin(radians(s.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - p.lon) / 2), 2))) <= 10)"""
+_SETS_OF_STORES = f"""
+(SELECT lat, lon, tier, 1 AS k, count(*) AS covered, round(sum(cost), 6) AS total FROM {_NEAR_COSTS} GROUP BY lat, lon, tier, store
+ UNION ALL SELECT lat, lon, tier, 2, count(*), round(sum(low), 6) FROM (
+   SELECT r.lat, r.lon, r.tier, a, b, item, min(cost) AS low FROM {_NEAR_COSTS} r
+   JOIN (SELECT x.lat, x.lon, x.tier, x.store AS a, y.store AS b FROM (SELECT DISTINCT lat, lon, tier, store FROM {_NEAR_COSTS}) x JOIN (SELECT DISTINCT lat, lon, tier, store FROM {_NEAR_COSTS}) y ON x.lat = y.lat AND x.lon = y.lon AND x.tier = y.tier AND x.store < y.store) p
+   ON r.lat = p.lat AND r.lon = p.lon AND r.tier = p.tier AND r.store IN (p.a, p.b) GROUP BY ALL) GROUP BY lat, lon, tier, a, b)"""
+_BEST_SETS = f"""
+(SELECT concat(s_suppkey, '-', tier) AS basket_id, m.k, first(covered ORDER BY covered DESC, total) AS covered, first(total ORDER BY covered DESC, total) AS total
+ FROM supplier JOIN {_SETS_OF_STORES} c ON c.lat = CAST(-34.6 AS DOUBLE) + (s_suppkey % 9) * CAST(0.01 AS DOUBLE) AND c.lon = CAST(-58.4 AS DOUBLE) + (s_suppkey % 7) * CAST(0.01 AS DOUBLE)
+ JOIN (VALUES (1), (2)) m(k) ON c.k <= m.k GROUP BY s_suppkey, tier, m.k)"""
+
+
+def _two_stores(t: Tables) -> DataFrame:
+    wanted, points = _baskets_at_points(t)
+    return baskets.best_store_combinations(wanted, points.withColumn("max_stores", F.lit(2)), t.store_prices)
+
+
+job("k84_one_or_two_stores", f"SELECT basket_id, k, CAST(covered AS INTEGER) AS covered, total FROM {_BEST_SETS}", "basket_id, k, covered, total", ("total",))(_two_stores)
+job(
+    "k89_option_of_two_stores",
+    f"""
+SELECT basket_id, CAST(k AS INTEGER) AS k, CAST(covered AS INTEGER) AS covered, total, round(CASE WHEN covered = one_covered THEN one_total - total END, 6) AS saving_vs_one FROM (
+  SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY covered DESC, total, k) AS n, first_value(total) OVER (PARTITION BY basket_id ORDER BY k) AS one_total, first_value(covered) OVER (PARTITION BY basket_id ORDER BY k) AS one_covered FROM {_BEST_SETS}) WHERE n = 1""",
+    "basket_id, k, covered, total, saving_vs_one", ("total", "saving_vs_one"),
+)(lambda t: baskets.best_option(_two_stores(t)))
 job("k86_quotable_localities", "SELECT locality, province, count(DISTINCT category) AS categories FROM locality_prices GROUP BY ALL HAVING count(DISTINCT category) >= 2")(lambda t: baskets.quotable_localities(t.locality_prices, 2))
 job("k87_zone_gazetteer", None)(lambda t: baskets.zone_gazetteer(t.on_map, spread_km=30))
 job(
