@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import gc
 import os
 import tempfile
@@ -31,15 +34,39 @@ def take_worker(operator: str) -> None:
     if operator != _OWNER:
         for drop in CACHES:
             drop()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
         _OWNER = operator
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: an executor's heap has no use for what an idle Python worker keeps."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches that gives its memory back when its task ends."""
+
+    @functools.wraps(run)
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return kept
+
+
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a folder of our own only where it is unset (local tests)."""
+    """The shared folder named in spark.checkpoint.dir; where it is unset, one of our own in local mode (tests), and an error
+    on a cluster, whose executors see no folder of the driver's."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     return at.rstrip("/")
 

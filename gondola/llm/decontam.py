@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.common import U64, mix, odd_numbers, prefix_hash, saved, slices, small_batches, span_hash, take_worker, text_bytes, word_spans
+from gondola.llm.common import U64, lean, mix, odd_numbers, prefix_hash, saved, slices, small_batches, span_hash, take_worker, text_bytes, word_spans
 
 #: Fixed masks: 1 counts, 0 is ignored, so a hit survives substitutions at ignored places. Together they lose nothing: a
 #: stretch of 12 or more tokens with 75 % equal holds one of 12, 16 or 20 tokens with at most 3, 4 or 5 changed, and every
@@ -21,6 +21,8 @@ MASKS = ("11101011", "111111", "1101000111", "1100011011", "11010111", "11100101
 MIN_OVERLAP, MIN_IDENTITY = 12, 0.75
 #: Bits of the broadcast filter of benchmark hashes: 8 MB at any size of the benchmark.
 FILTER_BITS = 26
+#: Bytes of text that are hashed at once.
+SLICE = 1 << 20
 _PROBES = (64 - FILTER_BITS, 64 - 2 * FILTER_BITS)
 
 #: Words are runs of ASCII letters and digits and of bytes beyond ASCII.
@@ -105,13 +107,14 @@ def _filter_bits(item_seeds: DataFrame) -> np.ndarray:
 
 
 def _doc_seeds(masks: list[tuple[int, str]], bits):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_worker("decontam")
         table = bits.value
         for b in batches:
             offsets, _ = text_bytes(b.column("text"))
             ids = np.asarray(b.column("doc_id"))
-            for a, e in slices(offsets):
+            for a, e in slices(offsets, SLICE):
                 h, limits = tokens(b.column("text"), a, e)
                 for number, mask in masks:
                     key, at = seeds(h, limits, mask, number)
@@ -126,6 +129,7 @@ def _doc_seeds(masks: list[tuple[int, str]], bits):
     return run
 
 
+@lean
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens of a document that face each item on each diagonal; the item's place 0 stands at doc_at."""
     for b in batches:
@@ -152,6 +156,7 @@ def longest_overlap(equal: np.ndarray, min_identity: float) -> tuple[int, int, i
 
 
 def _confirm(min_overlap: int, min_identity: float):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
