@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gondola.llm import exact, queries, search, secrets, tries
+from gondola.llm import decontam, doubling, exact, queries, repeats, search, secrets, tries
 
 SF = "/root/testdata/sf0.001"
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -233,6 +233,14 @@ def test_filter_audit_query(spark):
     assert all(r.removed == want[r.part, r.filter_order, r.step] for r in found)
 
 
+def test_one_word_items_match_documents_with_the_word(spark):
+    """A benchmark item of one word is found in each document that holds it, and nowhere else; one without words never is."""
+    docs = spark.createDataFrame([(1, "a rare Word here"), (2, "wording words"), (3, None), (4, "WORD")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "word"), (8, "..."), (9, None)], "item_id long, text string")
+    found = decontam.contaminated(docs, items).select("doc_id", "item_id", "n_tokens").collect()
+    assert sorted(map(tuple, found)) == [(1, 7, 1), (4, 7, 1)]
+
+
 def test_keys_are_random_and_numbers_are_not(spark):
     """Held-out strings of 16 characters and more: recall on keys, false positives on numbers, times, UUIDs, names and words."""
     rng = random.Random(7)
@@ -253,3 +261,18 @@ def test_keys_are_random_and_numbers_are_not(spark):
     # Documents that the model hasn't seen: personal numbers stay, and so does prose.
     added = secrets.scan_secrets(docs.filter("doc_id >= 800"), model).select(F.explode("secret_spans").alias("s"), "text").filter("s.kind = 3").select(F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("x")).collect()
     assert [r["x"] for r in added if r["x"].isdigit()] == [] and len(added) <= 2
+
+
+def test_prefix_doubling_finds_the_positions_of_brute_force_and_of_anchors(spark):
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(420))
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").filter("doc_id < 40").collect()]
+    rows += [(1000, passage), (1001, "x" + passage[:260]), (1002, passage[150:]), (1003, "z" * 230), (1004, "z" * 199), (1005, None), (1006, ""), (1007, "é" * 120)]
+    raw = {k: (t or "").encode() for k, t in rows}
+    seen = Counter(t[i : i + 200] for t in raw.values() for i in range(len(t) - 199))
+    want = {(k, i) for k, t in raw.items() for i in range(len(t) - 199) if seen[t[i : i + 200]] > 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in doubling.repeated_positions(docs).collect()} == want and len(want) > 300
+    gone = {k: sum(any((k, j) in want for j in range(i - 199, i + 1)) for i in range(len(t))) for k, t in raw.items() if k >= 1000}
+    assert {r["doc_id"]: r["n_removed"] for r in repeats.remove_repeats(docs).collect() if r["doc_id"] >= 1000} == gone
+    assert doubling.repeated_positions(docs.limit(0)).count() == 0
