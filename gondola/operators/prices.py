@@ -230,10 +230,10 @@ def credible_today(same: DataFrame) -> DataFrame:
     return same.filter("credible AND median_price IS NOT NULL").select("data_date", "price_date", "product_id", "chain", F.col("median_price").alias("price"))
 
 
-def price_history_update(same: DataFrame, history: DataFrame, date, p: Params = DEFAULTS) -> DataFrame:
-    """The credible prices of a date that differ from the last stored before it, or were never stored (J12). It reads the
-    whole history; history.advance_price_state does the same from a state table."""
-    day = F.lit(date).cast("date")
+def price_history_update(same: DataFrame, history: DataFrame, date=None, p: Params = DEFAULTS) -> DataFrame:
+    """The credible prices of a date (the last of same, if none is given) that differ from the last stored before it, or
+    were never stored (J12). It reads the whole history; price_state.advance_price_state does the same from a state table."""
+    day = F.lit(credible_today(same).agg(F.max("data_date")).first()[0] if date is None else date).cast("date")
     last = history.filter(F.col("data_date") < day).groupBy("product_id", "chain").agg(F.max_by("price", "data_date").alias("last_price"))
     moved = F.col("last_price").isNull() | (F.abs(F.col("price") - F.col("last_price")) > p.price_epsilon)
     return credible_today(same).filter(F.col("data_date") == day).join(last, ["product_id", "chain"], "left").filter(moved).select("data_date", "price_date", "product_id", "chain", "price")
