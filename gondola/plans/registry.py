@@ -46,7 +46,7 @@ def _day_pairs(t: Tables) -> DataFrame:
 
 JOBS: dict[str, Callable[[Tables], DataFrame]] = {
     "product_chain": lambda t: prices.product_chain_prices(t.prices, t.chains),
-    "tiers": lambda t: prices.product_tiers(t.prices, t.categories),
+    "tiers": lambda t: shared(("tiers", t.sf_dir), lambda: prices.product_tiers(t.prices, t.categories), "tiers"),
     "unit_prices": lambda t: prices.unit_prices(t.prices, t.categories, t.tiers, t.chains),
     "levels": lambda t: prices.chain_category_levels(t.unit_prices),
     "pairs": _day_pairs,
