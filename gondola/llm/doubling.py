@@ -1,7 +1,6 @@
 """Prefix doubling over all byte positions: the plain form of finding repeated strings, for corpora whose position rank pairs fit.
 
-repeats.py finds the same strings from one position in about 65; this module is held against it in tests, and the README
-states what a run of it moves.
+repeats.py finds the same strings from one position in about 65; this module is held against it in tests.
 """
 
 from __future__ import annotations
