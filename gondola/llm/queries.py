@@ -8,7 +8,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gondola.llm import chat, decontam, exact, lm, media, neardup, packing, quality, repeats, search, secrets, token_files, tries
@@ -73,8 +73,11 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    n = [F.size(F.filter("base_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
-    return found.select("doc_id", *n, F.sha2(secrets.spans_text(F.col("base_spans")), 256).alias("base_sha256"), secrets.spans_text(F.col("secret_spans")).alias("spans"))
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{secrets.KINDS[kind]}")
+
+    return found.select("doc_id", *map(count, range(3)), F.sha2(secrets.spans_text(F.col("base_spans")), 256).alias("base_sha256"), secrets.spans_text(F.col("secret_spans")).alias("spans"))
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
