@@ -309,6 +309,24 @@ def test_contaminated_finds_changed_words_at_each_place(spark):
     assert all(r["n_tokens"] >= min(12, r["item_tokens"]) and r["n_equal"] >= 0.75 * r["n_tokens"] for r in found)
 
 
+def test_components_of_parents_need_no_stars(spark, monkeypatch):
+    """Components of random graphs, paths and stars; edges of which no id has two smaller ends are followed by doubling."""
+    written, write = [], neardup.saved
+    monkeypatch.setattr(neardup, "saved", lambda df, name="t": (written.append(name), write(df, name))[1])
+    random = np.random.default_rng(5)
+    tree = [(k, int(random.integers(max(0, k - 3), k))) for k in range(1, 60)]
+    for edges, forest in (([], True), (tree, True), ([(k, k + 1) for k in range(40)], True), ([(99, k) for k in range(30)], False), (random.integers(0, 80, (70, 2)).tolist(), False)):
+        least = {x: x for e in edges for x in e if e[0] != e[1]}
+        for _ in least:
+            for a, b in edges:
+                if a != b:
+                    least[a] = least[b] = min(least[a], least[b])
+        written.clear()
+        found = neardup.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert {r["id"]: r["component"] for r in found} == least and len(found) == len(least)
+        assert not forest or written.count("edges") == 1
+
+
 def plain_lm(texts, chosen, context):
     """Both models' mean losses of each text, by dictionaries; target texts without their own words and pairs."""
     tokens = [re.findall(rb"^[ \t-\r]*[^ \t-\r]+[ \t-\r]*|[^ \t-\r]+[ \t-\r]*", t.encode()) for t in texts]
