@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.common import saved, small_batches, take_worker
+from gondola.llm.common import lean, saved, small_batches, take_worker
 from gondola.llm.tokens import END_ID, encoded
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -24,6 +24,7 @@ SEARCH_PASSES = 1000
 
 
 def _cut(vocabulary: str, end_id: int, capacity: int, keep_ids: bool):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_worker("packing")
         for b in batches:

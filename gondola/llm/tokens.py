@@ -12,7 +12,7 @@ import pyarrow as pa
 from gondola.llm.common import CACHES, WHITE, lower_ascii, slices, text_bytes
 
 #: A worker keeps the ids of so many distinct pieces, or of pieces of so many bytes; beyond either it keeps those seen again.
-CACHE_PIECES, CACHE_BYTES = 800_000, 16 << 20
+CACHE_PIECES, CACHE_BYTES = 400_000, 16 << 20
 #: Bytes of text that are cut and looked up at once.
 ENCODE_BYTES = 4 << 20
 END_ID = 2
@@ -137,22 +137,32 @@ class PieceEncoder:
         first[:-1] = self._cuts(data, offsets)
         first[offsets] = True
         at = np.flatnonzero(first)
+        del first
         if len(data) == 0:
             at = np.zeros(1, np.int64)
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        cut = np.searchsorted(at, offsets)
+        del at
         place = self._places(pieces.dictionary.to_pylist())[np.asarray(pieces.indices)] if len(pieces) else np.zeros(0, np.int64)
-        start, size = self.starts[place], self.starts[place + 1] - self.starts[place]
-        # Places of the ids of each piece in the output, with one more place after each text for the end id.
-        text = np.repeat(np.arange(n), np.diff(np.searchsorted(at, offsets)))
-        ends = 0 if end_id is None else 1
-        before = np.cumsum(size) - size
-        out = np.empty(int(size.sum()) + n * ends, np.int32)
-        target = np.repeat(before + text * ends - before, size) + np.arange(len(out) - n * ends)
-        out[target] = self.ids[np.repeat(start - before, size) + np.arange(len(out) - n * ends)]
-        limits = np.zeros(n + 1, np.int64)
-        limits[1:] = np.cumsum(np.bincount(text, weights=size, minlength=n).astype(np.int64) + ends)
-        if end_id is not None:
-            out[limits[1:] - 1] = end_id
+        del pieces
+        start, size = self.starts[place], self.starts[place + 1]
+        size -= start
+        del place
+        upto = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=upto[1:])
+        start -= upto[:-1]
+        source = np.repeat(start, size)
+        del start, size
+        source += np.arange(len(source))
+        own, limits = self.ids[source], upto[cut]
+        if end_id is None:
+            return own, limits
+        # One more place after each text for the end id.
+        limits += np.arange(n + 1)
+        out = np.full(len(own) + n, end_id, np.int32)
+        inside = np.ones(len(out), bool)
+        inside[limits[1:] - 1] = False
+        out[inside] = own
         return out, limits
 
 

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gondola.llm import arrays, chat, decontam, lm, media, neardup, packing, quality, queries, repeats, secrets, token_files, tokens
+from gondola.llm import arrays, chat, common, decontam, lm, media, neardup, packing, quality, queries, repeats, secrets, token_files, tokens
 from gondola.llm.tokens import encoded
 
 from . import brute
@@ -71,6 +72,25 @@ def test_encoder_forgets_what_came_once(monkeypatch):
     assert len(enc.known) < 80 and b" again" in enc.known
 
 
+def test_encoder_memory(sample, monkeypatch):
+    """What encoding a slice holds beside its text is bounded, and a packing task gives memory back when it ends."""
+    texts = [t for _, t in sample] * 4
+    raw = "".join(texts).encode()
+    data, offsets = np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    enc = tokens.PieceEncoder("byte_bpe_50k.json")
+    enc.encode(data, offsets, 2)
+    tracemalloc.start()
+    ids, limits = enc.encode(data, offsets, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert limits[-1] == len(ids) and peak < 14 * len(raw)
+    common.take_worker("packing")
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b", None])], names=["doc_id", "text"])
+    assert [b.num_rows for b in packing._cut("byte_bpe_50k.json", 2, 1024, False)(iter([batch]))] == [2] and given == [1]
+
+
 def test_pieces_and_packing(spark, odd_texts):
     docs = docs_of(spark, odd_texts)
     pieces = packing.token_pieces(docs, keep_ids=True)
