@@ -2,9 +2,11 @@
 
 A token is a word with the white space after it. Both models mix how often they saw the word with how likely its bytes are
 after the two bytes before each, in the manner of Witten and Bell: P(w) = (count(w) + kinds * spelled(w)) / (words + kinds).
-So they share one vocabulary, all byte strings, and learn new words for as long as the corpus grows. After one of the most
-frequent words, its followers' counts are mixed with P(w) in the same manner; followers that aren't frequent are one class,
-whose share P(w) divides. A document of the target is scored without its own words in the target's counts.
+So they share one vocabulary, all byte strings, and learn new words for as long as the corpus grows. After a word, its
+followers' counts are mixed with P(w) in the same manner, for all pairs of words that follow each other: they are counted and
+joined with their occurrences by Spark. A document of the target is scored without its own words and pairs in the target's
+counts. CONTEXT_WORDS can bound the words whose followers count, for a smaller model; then followers that aren't frequent are
+one class, whose share P(w) divides.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.common import U64, prefix_hash, run_starts, saved, slices, small_batches, span_hash, take_worker, text_bytes, word_spans
+from gondola.llm.common import U64, mix, odd_numbers, prefix_hash, run_starts, saved, slices, small_batches, span_hash, take_worker, text_bytes, word_spans
 
 #: Spelling: n-grams of ORDER bytes of UTF-8 (values 1 to 256; 0 stands before a text), TOKEN_BITS each. There are at most
 #: 257**ORDER of them, 16 bytes each, however large the corpus is.
@@ -26,11 +28,12 @@ ORDER, TOKEN_BITS = 3, 9
 HELD_GRAMS = 2_000_000
 #: At most so many words, the most frequent ones, are broadcast with their counts; the occurrences of all others are joined.
 HEAD_WORDS = 1_000_000
-#: The most frequent words, whose pairs are counted: at most CONTEXT_WORDS * (CONTEXT_WORDS + 1) cells for each model.
-CONTEXT_WORDS = 512
+#: None: all pairs are counted. A number n: only those after the n most frequent words, n * (n + 1) cells for each model.
+CONTEXT_WORDS: int | None = None
 #: Bits of the filter of target ids that spares all other texts the join: 8 MB at any size.
 ID_BITS = 26
 MODELS = ("target", "background")
+_PAIR = odd_numbers(2, 57)
 
 
 def gram_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -164,6 +167,51 @@ def count_pairs(docs: DataFrame, top: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out[0], out[1]
 
 
+def following(key: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words follow another one of their text, and a hash of each such pair."""
+    at = np.flatnonzero(text[1:] == text[:-1]) + 1
+    return at, mix(key.view(U64)[at - 1] * _PAIR[0] + key.view(U64)[at] * _PAIR[1]).view(np.int64)
+
+
+def _summed_pairs(pair: np.ndarray, before: np.ndarray, target: np.ndarray, background: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.argsort(pair, kind="stable")
+    starts = run_starts(pair[order])
+    return pair[order][starts], before[order][starts], *(np.add.reduceat(n[order], starts) if len(n) else n for n in (target, background))
+
+
+def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pair, before, target, background): occurrences of each pair of words, summed within the task as far as they are held."""
+    take_worker("lm")
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def batch(x: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in x], names=["pair", "before", *MODELS])
+
+    for b in batches:
+        offsets, data = text_bytes(b.column("text"))
+        chosen = np.asarray(b.column("target").to_numpy(zero_copy_only=False), np.int64)
+        for a, e in slices(offsets):
+            key, text, _, _ = words_of(data[offsets[a] : offsets[e]], offsets[a : e + 1] - offsets[a])
+            at, pair = following(key, text)
+            mine = chosen[a:e][text[at]]
+            held.append(_summed_pairs(pair, key[at - 1], mine, 1 - mine))
+            if sum(len(h[0]) for h in held) > HELD_GRAMS:
+                held = [_summed_pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                if len(held[0][0]) > HELD_GRAMS // 2:
+                    yield batch(held.pop())
+    if held:
+        yield batch(_summed_pairs(*(np.concatenate(x) for x in zip(*held, strict=True))))
+
+
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """(pair, seen_*, followed_*, kinds_*) for both models, over rows of (text, target): how often each pair of words occurs,
+    how often its first word has a follower, and how many kinds of followers it has."""
+    parts = docs.select("text", "target").mapInArrow(_all_pairs, "pair long, before long, target long, background long")
+    pairs = saved(parts.groupBy("pair", "before").agg(*(F.sum(m).alias(f"seen_{m}") for m in MODELS)), "pairs")
+    contexts = pairs.groupBy("before").agg(*(F.sum(f"seen_{m}").alias(f"followed_{m}") for m in MODELS), *(F.count_if(F.col(f"seen_{m}") > 0).alias(f"kinds_{m}") for m in MODELS))
+    return pairs.join(contexts, "before").drop("before")
+
+
 def _low(key: Column, n: int) -> Column:
     return key.bitwiseAND(F.lit((1 << (TOKEN_BITS * n)) - 1))
 
@@ -230,7 +278,8 @@ class WordModel:
     """What scoring needs of both models: losses of byte n-grams, counts of frequent words, kinds of words and all words, and
     the counts of pairs with each context's sum and kinds. A model without words has only its spelling."""
 
-    def __init__(self, grams: pa.Table, head: pa.Table, totals: dict[str, tuple[int, int]], top: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, grams: pa.Table, head: pa.Table, totals: dict[str, tuple[int, int]], top: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], joined: bool = False):
+        self.joined = joined  # pairs are joined with their counts, none are here
         self.grams, self.head = GramTable(grams["gram"].to_numpy()), GramTable(head["key"].to_numpy())
         self.losses = [grams[f"loss_{m}"].to_numpy() for m in MODELS]
         self.counts = [head[m].to_numpy().astype(float) for m in MODELS]
@@ -259,16 +308,18 @@ def _times(*keys: np.ndarray) -> np.ndarray:
 #: What is scored: the target model, the background model, and the target model without the document's own counts.
 SCORES = ("target", "background", "own")
 _SCORED = "row_id long, doc_id long, n_tokens long, sum_target double, sum_background double, sum_own double, word long, times int, spelled_target float, spelled_background float"
+_SCORED += ", pair long, pair_times int, context_times int, log_target float, log_background float, log_own float"
 
 
 def _score(model):
-    """A row for each text with the losses of its frequent words and the contexts of all, and one for each occurrence of any
-    other word."""
+    """A row for each text with the losses of its frequent words and the contexts of all, one for each occurrence of any other
+    word, and, if pairs are joined, one for each frequent word that follows another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_worker("lm")
         m: WordModel = model.value
-        names = [f.split()[0] for f in _SCORED.split(", ")]
+        types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32()}
+        kinds_of = {c: types[t] for c, t in map(str.split, _SCORED.split(", "))}
         for b in batches:
             offsets, data = text_bytes(b.column("text"))
             for a, e in slices(offsets):
@@ -282,7 +333,7 @@ def _score(model):
                 times = _times(key, text)
                 pair_times, context_times = _times(cell[after], text[after]), _times(before[after], text[after])
                 other = cell[after] % (len(m.top) + 1) == len(m.top)
-                spelled, sums = [], []
+                spelled, sums, kept = [], [], []
                 for k in range(2):
                     upto = np.concatenate([[0.0], np.cumsum(m.losses[k][gram], dtype=np.float64)])
                     spelled.append(upto[stop] - upto[begin])
@@ -303,12 +354,24 @@ def _score(model):
                     share = np.where(other, np.log(np.where(learnt, seen / m.outside[k] + kinds, 1.0)), np.log(np.where(learnt, seen * np.exp(-logs[after]) + kinds, 1.0)))
                     logs[after] += np.where(learnt, share - np.log(np.where(learnt, context + kinds, 1.0)), 0.0)
                     sums.append(-np.bincount(text, weights=logs, minlength=e - a))
+                    kept.append(logs.astype(np.float32) if m.joined else None)
                 docs = [b.column(c).slice(a, e - a) for c in ("row_id", "doc_id")]
-                none = [pa.nulls(e - a, t) for t in (pa.int64(), pa.int32(), pa.float32(), pa.float32())]
-                yield pa.RecordBatch.from_arrays([*docs, pa.array(size.astype(np.int64)), *map(pa.array, sums), *none], names=names)
+
+                def batch(**columns: pa.Array) -> pa.RecordBatch:
+                    n = len(next(iter(columns.values())))
+                    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in kinds_of.items()], names=list(kinds_of))
+
+                yield batch(row_id=docs[0], doc_id=docs[1], n_tokens=pa.array(size.astype(np.int64)), **{f"sum_{x}": pa.array(v) for x, v in zip(SCORES, sums, strict=True)})
+                follows = {"pair": np.zeros(len(key), np.int64), "pair_times": np.zeros(len(key), np.int32), "context_times": np.zeros(len(key), np.int32)}
+                none = np.ones(len(key), bool)
+                if m.joined:
+                    at, pair = following(key, text)
+                    none[at] = False
+                    follows["pair"][at], follows["pair_times"][at], follows["context_times"][at] = pair, _times(pair, text[at]), _times(key[at - 1], text[at])
+                    own = known & ~none
+                    yield batch(row_id=docs[0].take(pa.array(text[own])), **{c: pa.array(v[own]) for c, v in follows.items()}, **{f"log_{x}": pa.array(v[own]) for x, v in zip(SCORES, kept, strict=True)})
                 rest = pa.array(text[~known])
-                none = [pa.nulls(len(rest), t) for t in (pa.int64(), pa.float64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([*(d.take(rest) for d in docs), *none, pa.array(key[~known]), pa.array(times[~known].astype(np.int32)), *(pa.array(s[~known].astype(np.float32)) for s in spelled)], names=names)
+                yield batch(row_id=docs[0].take(rest), doc_id=docs[1].take(rest), n_tokens=pa.array(size[text[~known]].astype(np.int64)), word=pa.array(key[~known]), times=pa.array(times[~known].astype(np.int32)), **{f"spelled_{x}": pa.array(v[~known].astype(np.float32)) for x, v in zip(MODELS, spelled, strict=True)}, **{c: pa.array(v[~known], mask=none[~known]) for c, v in follows.items()})
 
     return run
 
@@ -326,6 +389,26 @@ def _least_frequent(words: DataFrame, most: int) -> int:
     return least
 
 
+def _followed(scored: DataFrame, found: DataFrame, logs: dict[str, Column], pairs: DataFrame) -> DataFrame:
+    """(row_id, learnt_*): by how much the words before raise the log probability of each text's words, for each score."""
+    columns = ["row_id", "pair", "pair_times", "context_times"]
+    head = scored.filter("word IS NULL AND pair IS NOT NULL").select(*columns, *(f"log_{s}" for s in SCORES))
+    rest = found.filter("pair IS NOT NULL").select(*columns, *(x.cast("float").alias(f"log_{s}") for s, x in logs.items()))
+    rows = head.unionByName(rest).join(pairs, "pair")
+
+    def learnt(score: str) -> Column:
+        m, own = ("target", True) if score == "own" else (score, False)
+        seen = F.greatest(F.lit(0), F.col(f"seen_{m}") - (F.col("pair_times") if own else F.lit(0)))
+        context = F.greatest(F.lit(0), F.col(f"followed_{m}") - (F.col("context_times") if own else F.lit(0)))
+        kinds = F.col(f"kinds_{m}")
+        # log(seen / P(w) + kinds), in logs: P(w) of a long word may be too small for a double.
+        a, b = F.log(seen.cast("double")) - F.col(f"log_{score}"), F.log(kinds.cast("double"))
+        share = F.when(seen > 0, F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))).otherwise(b)
+        return F.sum(F.when(kinds > 0, share - F.log((context + kinds).cast("double"))).otherwise(0.0)).alias(f"learnt_{score}")
+
+    return rows.groupBy("row_id").agg(*map(learnt, SCORES))
+
+
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
     """doc_id, n_tokens, ce_target, ce_background and ce_difference (target less background; lower is more like the
     target), in nats a word, of every whole text.
@@ -334,8 +417,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, head_words:
     vocabulary are the same. Of a target document the target model leaves the document's own words and pairs out (not its
     spelling, nor its kinds of words). Null and empty texts, and texts without words, have 0 tokens and null scores; repeated
     doc_ids and rows without one stay; without target documents the target model spells words uniformly; an empty table gives
-    an empty one; other columns are left out. head_words bounds what is broadcast; the scores don't depend on it. Only texts
-    of the target are shuffled.
+    an empty one; other columns are left out. head_words bounds what is broadcast; the scores don't depend on it. All pairs
+    count, unless CONTEXT_WORDS bounds the words whose followers do. Only texts of the target are shuffled.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -347,12 +430,13 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, head_words:
     words = counts.filter("word").select("key", *MODELS)
     totals = words.agg(*(f(m).alias(f"{n}_{m}") for m in MODELS for n, f in (("n", F.sum), ("kinds", lambda c: F.count_if(F.col(c) > 0))))).first()
     totals = {m: (totals[f"n_{m}"] or 0, totals[f"kinds_{m}"]) for m in MODELS}
-    top = np.sort(words.orderBy(F.col("background").desc(), "key").limit(CONTEXT_WORDS).select("key").toArrow()["key"].to_numpy())
+    joined = CONTEXT_WORDS is None
+    top = np.sort(words.orderBy(F.col("background").desc(), "key").limit(CONTEXT_WORDS or 0).select("key").toArrow()["key"].to_numpy())
     frequent = (F.col("background") >= _least_frequent(words, head_words)) | F.col("key").isin(top.tolist())
-    model = WordModel(grams, words.filter(frequent).toArrow(), totals, top, count_pairs(both, top))
+    model = WordModel(grams, words.filter(frequent).toArrow(), totals, top, (np.zeros((0, 1)), np.zeros((0, 1))) if joined else count_pairs(both, top), joined)
     numbered = docs.withColumn("row_id", F.monotonically_increasing_id())
     scored = saved(numbered.mapInArrow(_score(spark.sparkContext.broadcast(model)), _SCORED), "scored")
-    found = scored.filter("word IS NOT NULL").join(words.filter(~frequent).withColumnRenamed("key", "word"), "word")
+    found = scored.filter("word IS NOT NULL").drop("log_target", "log_background", "log_own").join(words.filter(~frequent).withColumnRenamed("key", "word"), "word")
 
     def loss(k: int, own: bool) -> Column:
         """The same sum of two probabilities as for frequent words, in logs, without what all words are divided by."""
@@ -362,16 +446,23 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, head_words:
         return -F.when(count > 0, both).otherwise(spelled)
 
     which = {"target": (0, False), "background": (1, False), "own": (0, True)}
+
+    def divided(score: str) -> Column:
+        """The log of what all of a text's words are divided by."""
+        k, own = which[score]
+        words = F.greatest(F.lit(0), F.lit(model.words[k]) - (F.col("n_tokens") if own else F.lit(0))) + model.kinds[k]
+        return F.log(words.cast("double")) if model.kinds[k] else F.lit(0.0)
+
     rest = found.groupBy("row_id").agg(*(F.sum(loss(*which[s])).alias(f"rest_{s}") for s in SCORES), F.count("*").alias("n_rest"))
     target = ids.withColumn("in_target", F.lit(True))
-    rows = scored.filter("word IS NULL").join(rest, "row_id", "left").join(target, "doc_id", "left")
+    rows = scored.filter("word IS NULL AND pair IS NULL").join(rest, "row_id", "left").join(target, "doc_id", "left")
+    if joined:
+        rows = rows.join(_followed(scored, found, {s: -loss(*which[s]) - divided(s) for s in SCORES}, pair_counts(both)), "row_id", "left")
     n = F.when(F.col("n_tokens") > 0, F.col("n_tokens"))
 
     def mean(score: str) -> Column:
-        k, own = which[score]
-        words = F.greatest(F.lit(0), F.lit(model.words[k]) - (F.col("n_tokens") if own else F.lit(0))) + model.kinds[k]
-        divided = F.log(words.cast("double")) if model.kinds[k] else F.lit(0.0)
-        return (F.col(f"sum_{score}") + F.coalesce(f"rest_{score}", F.lit(0.0)) + F.coalesce("n_rest", F.lit(0)) * divided) / n
+        learnt = F.coalesce(f"learnt_{score}", F.lit(0.0)) if joined else F.lit(0.0)
+        return (F.col(f"sum_{score}") + F.coalesce(f"rest_{score}", F.lit(0.0)) + F.coalesce("n_rest", F.lit(0)) * divided(score) - learnt) / n
 
     ce = [F.when(F.col("in_target"), mean("own")).otherwise(mean("target")), mean("background")]
     return rows.select("doc_id", "n_tokens", *(c.alias(f"ce_{m}") for c, m in zip(ce, MODELS, strict=True)), (ce[0] - ce[1]).alias("ce_difference"))

@@ -423,6 +423,23 @@ def test_cross_entropy_difference(spark, sample, head, targets, context, monkeyp
     assert lm.cross_entropy_difference(docs.limit(0), target).count() == 0
 
 
+@pytest.mark.parametrize("head,targets", [(lm.HEAD_WORDS, True), (20, True), (0, False)])
+def test_cross_entropy_counts_all_pairs(spark, sample, head, targets):
+    """Far more words than any bound on contexts had; a word too long for its probability to be a double."""
+    texts = [*(t[:300] for _, t in sample[:60]), sample[0][1][:300], "", None, "a", "zq" * 900 + " a " + "zq" * 900 + " a"]
+    chosen = [targets and k % 3 == 0 for k in range(len(texts))]
+    assert len({w for t in texts for w in (t or "").split()}) > 700
+    target = spark.createDataFrame([(k,) for k, c in enumerate(chosen) if c], "doc_id long")
+    found = by_id(lm.cross_entropy_difference(docs_of(spark, texts), target, head))
+    long = found.pop(len(texts) - 1)
+    assert math.isfinite(long["ce_target"]) and math.isfinite(long["ce_background"])
+    texts, chosen = texts[:-1], chosen[:-1]
+    found = by_id(lm.cross_entropy_difference(docs_of(spark, texts), target, head))
+    for k, (t, (a, b)) in enumerate(zip(texts, plain_lm([t or "" for t in texts], chosen, None), strict=True)):
+        if (t or "").strip():
+            assert found[k]["ce_target"] == pytest.approx(a, abs=1e-5) and found[k]["ce_background"] == pytest.approx(b, abs=1e-5)
+
+
 def test_cross_entropy_separates_held_out_labels(spark):
     """The area under the curve of -ce_difference for quality, on labelled documents that the target doesn't hold."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
