@@ -3,31 +3,38 @@
 A token is a word with the white space after it. Both models mix how often they saw the word with how likely its bytes are
 after the two bytes before each, in the manner of Witten and Bell: P(w) = (count(w) + kinds * spelled(w)) / (words + kinds).
 So they share one vocabulary, all byte strings, and learn new words for as long as the corpus grows. After a word, its
-followers' counts are mixed with P(w) in the same manner, for all pairs of words that follow each other: they are counted and
-joined with their occurrences by Spark. A document of the target is scored without its own words and pairs in the target's
-counts. CONTEXT_WORDS can bound the words whose followers count, for a smaller model; then followers that aren't frequent are
-one class, whose share P(w) divides.
+followers' counts are mixed with P(w) in the same manner, for all pairs of words that follow each other. Blocks of neighbouring
+documents list their distinct pairs, buckets of pairs sum what all blocks listed, and each block gets the sums back in the order
+of its list, so that no pair is named twice; texts meet their block's sums there. A document of the target is scored without its
+own words and pairs in the target's counts. CONTEXT_WORDS can bound the words whose followers count, for a smaller model; then
+followers that aren't frequent are one class, whose share P(w) divides.
 """
 
 from __future__ import annotations
 
+import contextlib
 import math
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.llm.common import U64, mix, odd_numbers, prefix_hash, run_starts, saved, slices, small_batches, span_hash, take_worker, text_bytes, word_spans
+from gondola.llm.common import U64, drop_table, lean, mix, odd_numbers, prefix_hash, run_starts, saved, slices, small_batches, span_hash, take_worker, text_bytes, word_spans, write_table
 
 #: Spelling: n-grams of ORDER bytes of UTF-8 (values 1 to 256; 0 stands before a text), TOKEN_BITS each. There are at most
 #: 257**ORDER of them, 16 bytes each, however large the corpus is.
 ORDER, TOKEN_BITS = 3, 9
 #: Distinct n-grams, or words, that a task gathers before it hands them on.
 HELD_GRAMS = 2_000_000
-#: At most so many words, the most frequent ones, are broadcast with their counts; the occurrences of all others are joined.
+#: At most so many words, the most frequent ones, are broadcast with their counts; blocks list all others.
 HEAD_WORDS = 1_000_000
+#: Bytes of text in a block, and occurrences of pairs in a bucket, about. A word with more followers has several buckets.
+BLOCK_BYTES, BUCKET_PAIRS = 2 << 20, 500_000
+#: Bytes of text that are turned into arrays at once; one longer text is taken whole.
+PART_BYTES = 1 << 18
 #: None: all pairs are counted. A number n: only those after the n most frequent words, n * (n + 1) cells for each model.
 CONTEXT_WORDS: int | None = None
 #: Bits of the filter of target ids that spares all other texts the join: 8 MB at any size.
@@ -58,8 +65,16 @@ def words_of(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarr
 Counts = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
+def _occurrences(keys: np.ndarray, target: bool) -> Counts:
+    """Each key's occurrences, all of them in texts of the target or none."""
+    ordered = np.sort(keys)
+    starts = run_starts(ordered)
+    n = np.diff(np.append(starts, len(keys)))
+    return ordered[starts], n * target, n * (not target)
+
+
 def _summed(keys: np.ndarray, target: np.ndarray, background: np.ndarray) -> Counts:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     starts = run_starts(keys[order])
     return keys[order][starts], np.add.reduceat(target[order], starts), np.add.reduceat(background[order], starts)
 
@@ -78,13 +93,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         offsets, data = text_bytes(b.column("text"))
         chosen = np.asarray(b.column("target").fill_null(False).to_numpy(zero_copy_only=False), np.int64)
-        for a, e in slices(offsets):
+        for a, e in slices(offsets, PART_BYTES):
             limits, own = offsets[a : e + 1] - offsets[a], data[offsets[a] : offsets[e]]
             words, text, _, _ = words_of(own, limits)
             for word, keys, mine in ((False, gram_keys(own, limits), np.repeat(chosen[a:e], np.diff(limits))), (True, words, chosen[a:e][text])):
-                if not len(keys):
-                    continue
-                held[word].append(_summed(keys, mine, 1 - mine))
+                held[word] += [_occurrences(keys[mine == target], bool(target)) for target in (0, 1) if np.any(mine == target)]
                 if sum(len(h[0]) for h in held[word]) > HELD_GRAMS:
                     held[word] = [merged(word)]
                     if len(held[word][0][0]) > HELD_GRAMS // 2:
@@ -120,7 +133,7 @@ def marked(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 def count_grams(docs: DataFrame) -> DataFrame:
     """(word, key, target, background) over rows of (text, target): summed in tasks first, then by key."""
     small_batches(docs.sparkSession)
-    parts = docs.select("text", "target").mapInArrow(_count, "word boolean, key long, target long, background long")
+    parts = docs.select("text", "target").mapInArrow(lean(_count), "word boolean, key long, target long, background long")
     return parts.groupBy("word", "key").agg(*(F.sum(m).alias(m) for m in MODELS))
 
 
@@ -134,7 +147,7 @@ def _pairs(top: np.ndarray):
         for b in batches:
             offsets, data = text_bytes(b.column("text"))
             chosen = np.asarray(b.column("target").to_numpy(zero_copy_only=False), bool)
-            for a, e in slices(offsets):
+            for a, e in slices(offsets, PART_BYTES):
                 key, text, _, _ = words_of(data[offsets[a] : offsets[e]], offsets[a : e + 1] - offsets[a])
                 before, cell = pair_cells(key, text, top)
                 at = np.flatnonzero(before >= 0)
@@ -167,49 +180,177 @@ def count_pairs(docs: DataFrame, top: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out[0], out[1]
 
 
-def following(key: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which words follow another one of their text, and a hash of each such pair."""
-    at = np.flatnonzero(text[1:] == text[:-1]) + 1
-    return at, mix(key.view(U64)[at - 1] * _PAIR[0] + key.view(U64)[at] * _PAIR[1]).view(np.int64)
+#: Follows each word that isn't broadcast in the lists, for its own occurrences; above all numbers of frequent words.
+ITSELF = 1 << 32
+_RARE = np.int64(-1 << 63)
+_LISTED = "bucket int, block long, check long, befores binary, sizes binary, afters binary, counts binary"
+_RETURNED = "bucket int, block long, check long, befores binary, seen_target binary, seen_background binary"
+_RETURNED += ", followed_target binary, followed_background binary, kinds_target binary, kinds_background binary"
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """How many bytes the numbers need, and these, equal ones side by side, which compress well."""
+    x = x.astype(np.int64)
+    wide = 8 if x.min(initial=0) < 0 else max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([wide]) + np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T[:wide]).tobytes()
+
+
+def _unpacked(raw: list[bytes]) -> np.ndarray:
+    sizes = [(len(r) - 1) // r[0] for r in raw]
+    out = np.zeros((sum(sizes), 8), np.uint8)
+    for r, n, at in zip(raw, sizes, np.cumsum([0, *sizes]), strict=False):
+        out[at : at + n, : r[0]] = np.frombuffer(r, np.uint8, offset=1).reshape(r[0], n).T
+    return out.view(np.int64).ravel()
+
+
+def _batch(schema: str, columns: list) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "string": pa.string()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(v, types[t]) for v, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+class Lists:
+    """How a block lists its pairs: frequent words by their number (the most frequent is 0), others by a negative hash."""
+
+    def __init__(self, keys: np.ndarray, often: np.ndarray, words: int, pairs: bool):
+        self.head, self.pairs = GramTable(keys), pairs
+        self.parts = often[: np.count_nonzero(often >= BUCKET_PAIRS)] // BUCKET_PAIRS + 1
+        self.buckets = words // BUCKET_PAIRS + 1
+
+    def codes(self, key: np.ndarray) -> np.ndarray:
+        at = self.head.find(key)
+        return np.where(at >= 0, at, key | _RARE)
+
+    def entries(self, key: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Bucket, first word, follower and count of each distinct pair, by bucket; where each pair's second word is, then where
+        each word is that isn't broadcast, and which entry is theirs; each word's number, from 0, and these words' codes."""
+        at = np.flatnonzero(text[1:] == text[:-1]) + 1 if self.pairs else np.zeros(0, np.int64)
+        own, number = np.unique(key, return_inverse=True)
+        own = self.codes(own)
+        rare = np.flatnonzero(own[number] < 0)
+        width = len(own) + 1
+        cells, of, count = np.unique(np.concatenate([number[at - 1] * width + number[at], number[rare] * width + len(own)]), return_inverse=True, return_counts=True)
+        before, after = own[cells // width], np.append(own, ITSELF)[cells % width]
+        parts = np.ones(len(before), np.int64)
+        several = (before >= 0) & (before < len(self.parts))
+        parts[several] = self.parts[before[several]]
+        part = mix(after.view(U64) * _PAIR[1]) % parts.view(U64)
+        bucket = (mix(before.view(U64) * _PAIR[0] + part) % U64(self.buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        return bucket[order], before[order], after[order], count[order], at, rare, place[of], number, own
+
+
+def _runs(bucket: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Where another first word's entries, or another bucket's, begin."""
+    new = np.ones(len(before), bool)
+    new[1:] = (before[1:] != before[:-1]) | (bucket[1:] != bucket[:-1])
+    return np.flatnonzero(new)
+
+
+def _lists(bucket: np.ndarray, before: np.ndarray, after: np.ndarray) -> Iterator[tuple[slice, int, bytes, bytes, bytes, int]]:
+    """For each bucket its entries, number, first words, how many followers each has, followers, and a checksum of all."""
+    ends = np.append(run_starts(bucket), len(bucket))
+    for a, e in zip(ends[:-1], ends[1:], strict=True):
+        runs = _runs(bucket[a:e], before[a:e])
+        befores, sizes, afters = _packed(before[a:e][runs]), _packed(np.diff(np.append(runs, e - a))), _packed(after[a:e])
+        yield slice(a, e), int(bucket[a]), befores, sizes, afters, zlib.crc32(afters, zlib.crc32(sizes, zlib.crc32(befores)))
+
+
+def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of a task's (row_id, text), with offsets and bytes of their texts and their block, which bears its first row's id."""
+    block, size = -1, BLOCK_BYTES
+    for b in batches:
+        offsets, data = text_bytes(b.column("text"))
+        for a, e in slices(offsets, PART_BYTES):
+            if size >= BLOCK_BYTES:
+                block, size = b.column("row_id")[a].as_py(), 0
+            size += int(offsets[e] - offsets[a]) + 16 * (e - a)
+            yield block, b.slice(a, e - a), offsets[a : e + 1] - offsets[a], data[offsets[a] : offsets[e]]
 
 
-def _summed_pairs(pair: np.ndarray, before: np.ndarray, target: np.ndarray, background: np.ndarray) -> tuple[np.ndarray, ...]:
-    order = np.argsort(pair, kind="stable")
-    starts = run_starts(pair[order])
-    return pair[order][starts], before[order][starts], *(np.add.reduceat(n[order], starts) if len(n) else n for n in (target, background))
+def _with_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block, b, _, _ in in_blocks(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, block)), *b.columns], names=["block", *b.schema.names])
 
 
-def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pair, before, target, background): occurrences of each pair of words, summed within the task as far as they are held."""
-    take_worker("lm")
-    held: list[tuple[np.ndarray, ...]] = []
+def _list_blocks(shared, target: bool) -> Callable:
+    """The lists of each block's distinct pairs and rare words; those of the target's texts bear no block."""
 
-    def batch(x: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in x], names=["pair", "before", *MODELS])
+    def listed(block: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        bucket, before, after, count, *_ = shared.value.entries(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        rows = [(n, None if target else block, check, befores, sizes, afters, _packed(count[at])) for at, n, befores, sizes, afters, check in _lists(bucket, before, after)]
+        return _batch(_LISTED, list(zip(*rows, strict=True)) or [[]] * 7)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("lm")
+        now, held, texts = -1, [], 0
+        for block, b, limits, own in in_blocks(batches):
+            if block != now and held:
+                yield listed(now, held)
+                held = []
+            key, text, _, _ = words_of(own, limits)
+            held.append((key, (text + texts).astype(np.int32)))
+            now, texts = block, texts + b.num_rows
+        if held:
+            yield listed(now, held)
+
+    return lean(run)
+
+
+def _sum_bucket(table: pa.Table) -> pa.Table:
+    """For each block's list the sums over all lists, in its order: how often each pair was seen, and of first words that aren't
+    broadcast how often they were followed and by how many kinds. A last row without block has these of broadcast words."""
+    take_worker("lm")
+    raw = table.to_pydict()
+    sizes, starts = [_unpacked([x]) for x in raw["sizes"]], [_unpacked([x]) for x in raw["befores"]]
+    first = np.concatenate([np.cumsum(x) - x + k for x, k in zip(sizes, np.cumsum([0, *(x.sum() for x in sizes)]), strict=False)])
+    before = np.repeat(np.concatenate(starts), np.concatenate(sizes))
+    after, count = _unpacked(raw["afters"]), _unpacked(raw["counts"])
+    own = np.repeat([b is None for b in raw["block"]], [x.sum() for x in sizes])
+    key = np.repeat(np.unique(np.concatenate(starts), return_inverse=True)[1], np.concatenate(sizes)) << 34
+    key[after >= 0] |= after[after >= 0]
+    key[after < 0] |= np.unique(after[after < 0], return_inverse=True)[1] + ITSELF + 1
+    order = np.argsort(key)
+    runs = run_starts(key[order])
+    pair = np.empty(len(order), np.int64)
+    pair[order] = np.repeat(np.arange(len(runs)), np.diff(np.append(runs, len(order))))
+    seen = [np.add.reduceat(np.where(mine, count, 0)[order], runs) for mine in (own, ~own)]
+    words, follows = before[order][runs], after[order][runs] != ITSELF
+    kept = run_starts(words)
+    word = np.repeat(np.arange(len(kept)), np.diff(np.append(kept, len(words))))
+    sums = [*(np.add.reduceat(s * follows, kept) for s in seen), *(np.add.reduceat((s > 0) & follows, kept, dtype=np.int64) for s in seen)]
+    rows, at, runs_before = [], 0, 0
+    for k, block in enumerate(raw["block"]):
+        n, m = int(sizes[k].sum()), len(sizes[k])
+        if block is not None:
+            mine = pair[at : at + n]
+            rare = word[pair[first[runs_before : runs_before + m][starts[k] < 0]]]
+            rows.append((raw["bucket"][k], block, raw["check"][k], None, *(_packed(s[mine]) for s in seen), *(_packed(s[rare]) for s in sums)))
+        at, runs_before = at + n, runs_before + m
+    head = words[kept] >= 0
+    rows.append((raw["bucket"][0], None, None, _packed(words[kept][head]), None, None, *(_packed(s[head]) for s in sums)))
+    return pa.Table.from_batches([_batch(_RETURNED, list(zip(*rows, strict=True)))])
+
+
+def _head_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        offsets, data = text_bytes(b.column("text"))
-        chosen = np.asarray(b.column("target").to_numpy(zero_copy_only=False), np.int64)
-        for a, e in slices(offsets):
-            key, text, _, _ = words_of(data[offsets[a] : offsets[e]], offsets[a : e + 1] - offsets[a])
-            at, pair = following(key, text)
-            mine = chosen[a:e][text[at]]
-            held.append(_summed_pairs(pair, key[at - 1], mine, 1 - mine))
-            if sum(len(h[0]) for h in held) > HELD_GRAMS:
-                held = [_summed_pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-                if len(held[0][0]) > HELD_GRAMS // 2:
-                    yield batch(held.pop())
-    if held:
-        yield batch(_summed_pairs(*(np.concatenate(x) for x in zip(*held, strict=True))))
-
-
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """(pair, seen_*, followed_*, kinds_*) for both models, over rows of (text, target): how often each pair of words occurs,
-    how often its first word has a follower, and how many kinds of followers it has."""
-    parts = docs.select("text", "target").mapInArrow(_all_pairs, "pair long, before long, target long, background long")
-    pairs = saved(parts.groupBy("pair", "before").agg(*(F.sum(m).alias(f"seen_{m}") for m in MODELS)), "pairs")
-    contexts = pairs.groupBy("before").agg(*(F.sum(f"seen_{m}").alias(f"followed_{m}") for m in MODELS), *(F.count_if(F.col(f"seen_{m}") > 0).alias(f"kinds_{m}") for m in MODELS))
-    return pairs.join(contexts, "before").drop("before")
+        yield _batch(_HEAD, [_unpacked(b.column(c).to_pylist()) for c in ("befores", *_SUMS)])
+
+
+_SUMS = tuple(f"{n}_{m}" for n in ("followed", "kinds") for m in MODELS)
+_HEAD = ", ".join(f"{c} long" for c in ("word", *_SUMS))
+
+
+def block_sums(docs: DataFrame, target: DataFrame, lists: Lists) -> tuple[DataFrame, pa.Table]:
+    """What _sum_bucket gives back to the blocks of docs (row_id, text), and for broadcast words (number, followed_*, kinds_*)."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(lists)
+    listed = docs.mapInArrow(_list_blocks(shared, False), _LISTED).unionByName(target.select(F.monotonically_increasing_id().alias("row_id"), "text").mapInArrow(_list_blocks(shared, True), _LISTED))
+    returned = saved(listed.groupBy("bucket").applyInArrow(_sum_bucket, _RETURNED), "sums")
+    head = returned.filter("block IS NULL").mapInArrow(_head_rows, _HEAD).groupBy("word").agg(*(F.sum(c).alias(c) for c in _SUMS)).toArrow()
+    return returned.filter("block IS NOT NULL").drop("befores"), head
 
 
 def _low(key: Column, n: int) -> Column:
@@ -274,104 +415,128 @@ class GramTable:
         return out
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.int32) if x.max(initial=0) < 1 << 31 else x
+
+
 class WordModel:
     """What scoring needs of both models: losses of byte n-grams, counts of frequent words, kinds of words and all words, and
-    the counts of pairs with each context's sum and kinds. A model without words has only its spelling."""
+    either how often frequent words are followed and by how many kinds (the pairs come with each block), or dense counts of
+    pairs after top. A model without words has only its spelling."""
 
-    def __init__(self, grams: pa.Table, head: pa.Table, totals: dict[str, tuple[int, int]], top: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], joined: bool = False):
-        self.joined = joined  # pairs are joined with their counts, none are here
-        self.grams, self.head = GramTable(grams["gram"].to_numpy()), GramTable(head["key"].to_numpy())
+    def __init__(self, grams: pa.Table, head: pa.Table, totals: dict[str, tuple[int, int]], lists: Lists, contexts: pa.Table, top: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]):
+        self.lists, self.grams = lists, GramTable(grams["gram"].to_numpy())
         self.losses = [grams[f"loss_{m}"].to_numpy() for m in MODELS]
-        self.counts = [head[m].to_numpy().astype(float) for m in MODELS]
+        self.counts = [_narrow(head[m].to_numpy()) for m in MODELS]
         self.words, self.kinds = [totals[m][0] for m in MODELS], [totals[m][1] for m in MODELS]
+        self.contexts = [np.zeros(len(head), np.int64) for _ in _SUMS]
+        for c, x in zip(_SUMS, self.contexts, strict=True):
+            x[contexts["word"].to_numpy()] = contexts[c].to_numpy()
+        self.contexts = [_narrow(x) for x in self.contexts]
         self.top, self.pairs = top, [t.ravel() for t in pairs]
         self.followed, self.followers = [t.sum(axis=1) for t in pairs], [(t > 0).sum(axis=1).astype(float) for t in pairs]
-        in_top = head["key"].to_numpy()
-        in_top = np.isin(in_top, top)
+        in_top = np.isin(head["key"].to_numpy(), top)
         self.outside = [(self.words[k] - self.counts[k][in_top].sum() + self.kinds[k]) / (self.words[k] + self.kinds[k]) if self.kinds[k] else 1.0 for k in range(2)]
 
     def log_kinds(self, k: int) -> float:
         return math.log(self.kinds[k]) if self.kinds[k] else 0.0
 
 
-def _times(*keys: np.ndarray) -> np.ndarray:
-    """How often each row's combination of keys occurs."""
-    order = np.lexsort(keys)
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
-    group = np.cumsum(new) - 1
-    out = np.empty(len(order), np.int64)
-    out[order] = np.bincount(group)[group] if len(order) else 0
-    return out
+def _times(keys: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """How often each row's key, a number from 0, occurs in its text."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    _, of, times = np.unique(text * (int(keys.max()) + 1) + keys, return_inverse=True, return_counts=True)
+    return times[of]
 
 
+#: Above it, exp of a log is near the end of doubles, and kinds of followers no longer add to it.
+MOST_LOG = 600.0
 #: What is scored: the target model, the background model, and the target model without the document's own counts.
 SCORES = ("target", "background", "own")
-_SCORED = "row_id long, doc_id long, n_tokens long, sum_target double, sum_background double, sum_own double, word long, times int, spelled_target float, spelled_background float"
-_SCORED += ", pair long, pair_times int, context_times int, log_target float, log_background float, log_own float"
+_SCORED = "doc_id long, n_tokens long, sum_target double, sum_background double, sum_own double"
 
 
-def _score(model):
-    """A row for each text with the losses of its frequent words and the contexts of all, one for each occurrence of any other
-    word, and, if pairs are joined, one for each frequent word that follows another."""
+REREAD = "the documents' rows, or their order, differ when they are read again"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _block_counts(bucket: np.ndarray, before: np.ndarray, after: np.ndarray, contexts: list[np.ndarray], returned: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For a block's entries how often each is seen, and its first word's sums (followed by, kinds of followers), for both models."""
+    sums = returned.sort_by("bucket")
+    if [x[-1] for x in _lists(bucket, before, after)] != sums["check"].to_pylist():
+        raise RuntimeError(REREAD)
+    seen = [_unpacked(sums[f"seen_{m}"].to_pylist()) for m in MODELS]
+    runs = _runs(bucket, before)
+    rare = np.zeros(len(before), bool)
+    rare[runs] = before[runs] < 0
+    nth, out = np.cumsum(rare) - 1, []
+    for c, of_head in zip(_SUMS, contexts, strict=True):
+        own = _unpacked(sums[c].to_pylist())
+        x = np.empty(len(before), np.int64)
+        x[before < 0], x[before >= 0] = own[nth[before < 0]], of_head[before[before >= 0]]
+        out.append(x)
+    return seen, out
+
+
+def _score_block(model) -> Callable:
+    """A row for each text of a block with its summed losses under each of SCORES."""
+
+    def run(docs: pa.Table, returned: pa.Table) -> pa.Table:
         take_worker("lm")
         m: WordModel = model.value
-        types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32()}
-        kinds_of = {c: types[t] for c, t in map(str.split, _SCORED.split(", "))}
-        for b in batches:
-            offsets, data = text_bytes(b.column("text"))
-            for a, e in slices(offsets):
-                limits, own = offsets[a : e + 1] - offsets[a], data[offsets[a] : offsets[e]]
-                gram = m.grams.find(gram_keys(own, limits))
-                key, text, begin, stop = words_of(own, limits)
-                at = m.head.find(key) if len(m.losses[0]) else np.zeros(0, np.int64)
-                known, size = at >= 0, np.bincount(text, minlength=e - a)
-                before, cell = pair_cells(key, text, m.top)
-                after = np.flatnonzero(before >= 0)
-                times = _times(key, text)
-                pair_times, context_times = _times(cell[after], text[after]), _times(before[after], text[after])
-                other = cell[after] % (len(m.top) + 1) == len(m.top)
-                spelled, sums, kept = [], [], []
-                for k in range(2):
-                    upto = np.concatenate([[0.0], np.cumsum(m.losses[k][gram], dtype=np.float64)])
-                    spelled.append(upto[stop] - upto[begin])
-                for k, without in ((0, False), (1, False), (0, True)):
-                    logs = np.zeros(len(key))
-                    if m.kinds[k]:
-                        with np.errstate(divide="ignore"):
-                            count = np.log(np.maximum(0.0, m.counts[k][at[known]] - without * times[known]))
-                        words = np.maximum(0.0, m.words[k] - without * size[text[known]])
-                        logs[known] = np.logaddexp(count, m.log_kinds(k) - spelled[k][known]) - np.log(words + m.kinds[k])
-                    else:
-                        logs[known] = -spelled[k][known]
-                    seen = np.maximum(0.0, m.pairs[k][cell[after]] - without * pair_times)
-                    context = np.maximum(0.0, m.followed[k][before[after]] - without * context_times)
-                    kinds = m.followers[k][before[after]]
-                    learnt = kinds > 0
-                    # A frequent follower has its own count; others share their class's by their own probability.
-                    share = np.where(other, np.log(np.where(learnt, seen / m.outside[k] + kinds, 1.0)), np.log(np.where(learnt, seen * np.exp(-logs[after]) + kinds, 1.0)))
-                    logs[after] += np.where(learnt, share - np.log(np.where(learnt, context + kinds, 1.0)), 0.0)
-                    sums.append(-np.bincount(text, weights=logs, minlength=e - a))
-                    kept.append(logs.astype(np.float32) if m.joined else None)
-                docs = [b.column(c).slice(a, e - a) for c in ("row_id", "doc_id")]
-
-                def batch(**columns: pa.Array) -> pa.RecordBatch:
-                    n = len(next(iter(columns.values())))
-                    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in kinds_of.items()], names=list(kinds_of))
-
-                yield batch(row_id=docs[0], doc_id=docs[1], n_tokens=pa.array(size.astype(np.int64)), **{f"sum_{x}": pa.array(v) for x, v in zip(SCORES, sums, strict=True)})
-                follows = {"pair": np.zeros(len(key), np.int64), "pair_times": np.zeros(len(key), np.int32), "context_times": np.zeros(len(key), np.int32)}
-                none = np.ones(len(key), bool)
-                if m.joined:
-                    at, pair = following(key, text)
-                    none[at] = False
-                    follows["pair"][at], follows["pair_times"][at], follows["context_times"][at] = pair, _times(pair, text[at]), _times(key[at - 1], text[at])
-                    own = known & ~none
-                    yield batch(row_id=docs[0].take(pa.array(text[own])), **{c: pa.array(v[own]) for c, v in follows.items()}, **{f"log_{x}": pa.array(v[own]) for x, v in zip(SCORES, kept, strict=True)})
-                rest = pa.array(text[~known])
-                yield batch(row_id=docs[0].take(rest), doc_id=docs[1].take(rest), n_tokens=pa.array(size[text[~known]].astype(np.int64)), word=pa.array(key[~known]), times=pa.array(times[~known].astype(np.int32)), **{f"spelled_{x}": pa.array(v[~known].astype(np.float32)) for x, v in zip(MODELS, spelled, strict=True)}, **{c: pa.array(v[~known], mask=none[~known]) for c, v in follows.items()})
+        offsets, data = text_bytes(docs["text"])
+        n = len(offsets) - 1
+        if not n:
+            raise RuntimeError(REREAD)
+        parts = []
+        for a, e in slices(offsets, PART_BYTES):
+            limits, own = offsets[a : e + 1] - offsets[a], data[offsets[a] : offsets[e]]
+            gram = m.grams.find(gram_keys(own, limits))
+            key, text, begin, stop = words_of(own, limits)
+            upto = [np.concatenate([[0.0], np.cumsum(m.losses[k][gram], dtype=np.float64)]) for k in range(2)]
+            parts.append((key, text + a, *(u[stop] - u[begin] for u in upto)))
+        key, text, *spelled = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del data, parts, gram, upto
+        size = np.bincount(text, minlength=n)
+        bucket, before, after, _, at, rare, entry, word, code = m.lists.entries(key, text)
+        seen, contexts = _block_counts(bucket, before, after, m.contexts, returned)
+        pair, known = entry[: len(at)], code >= 0
+        count = [np.zeros(len(code), np.int64) for _ in MODELS]
+        for k in range(2):
+            count[k][known], count[k][word[rare]] = m.counts[k][code[known]], seen[k][entry[len(at) :]]
+            count[k] = count[k][word]
+        times, pair_times = _times(word, text), _times(pair, text[at])
+        last = word[np.cumsum(size) - 1] if len(word) else word
+        context_times = times[at - 1] - (word[at - 1] == last[text[at]])
+        preceding, cell = pair_cells(key, text, m.top)
+        dense = np.flatnonzero(preceding >= 0)
+        dense_times, dense_context = _times(cell[dense], text[dense]), _times(preceding[dense], text[dense])
+        other = cell[dense] % (len(m.top) + 1) == len(m.top)
+        sums = []
+        for k, without in ((0, False), (1, False), (0, True)):
+            if m.kinds[k]:
+                seen_word, rest = np.maximum(0.0, count[k] - without * times), m.log_kinds(k) - spelled[k]
+                logs = np.where(seen_word > 0, np.log(np.exp(rest) + np.where(seen_word > 0, seen_word, 1.0)), rest)
+                logs -= np.log(np.maximum(0.0, m.words[k] - without * size[text]) + m.kinds[k])
+            else:
+                logs = -spelled[k]
+            # log(seen / P(w) + kinds), in logs: P(w) of a long word may be too small for a double.
+            followed, kinds = contexts[k][pair], contexts[2 + k][pair].astype(float)
+            learnt = kinds > 0
+            kinds[~learnt] = 1.0
+            with np.errstate(divide="ignore"):
+                ratio = np.log(np.maximum(0.0, seen[k][pair] - without * pair_times)) - logs[at]
+            share = np.where(ratio < MOST_LOG, np.log(np.exp(np.minimum(ratio, MOST_LOG)) + kinds), ratio)
+            logs[at] += np.where(learnt, share - np.log(np.maximum(0.0, followed - without * context_times) + kinds), 0.0)
+            if len(dense):
+                had = np.maximum(0.0, m.pairs[k][cell[dense]] - without * dense_times)
+                context, kinds = np.maximum(0.0, m.followed[k][preceding[dense]] - without * dense_context), m.followers[k][preceding[dense]]
+                learnt = kinds > 0
+                # A frequent follower has its own count; others share their class's by their own probability.
+                share = np.where(other, np.log(np.where(learnt, had / m.outside[k] + kinds, 1.0)), np.log(np.where(learnt, had * np.exp(-logs[dense]) + kinds, 1.0)))
+                logs[dense] += np.where(learnt, share - np.log(np.where(learnt, context + kinds, 1.0)), 0.0)
+            sums.append(-np.bincount(text, weights=logs, minlength=n))
+        return pa.Table.from_batches([_batch(_SCORED, [docs["doc_id"].combine_chunks(), size, *sums])])
 
     return run
 
@@ -389,24 +554,16 @@ def _least_frequent(words: DataFrame, most: int) -> int:
     return least
 
 
-def _followed(scored: DataFrame, found: DataFrame, logs: dict[str, Column], pairs: DataFrame) -> DataFrame:
-    """(row_id, learnt_*): by how much the words before raise the log probability of each text's words, for each score."""
-    columns = ["row_id", "pair", "pair_times", "context_times"]
-    head = scored.filter("word IS NULL AND pair IS NOT NULL").select(*columns, *(f"log_{s}" for s in SCORES))
-    rest = found.filter("pair IS NOT NULL").select(*columns, *(x.cast("float").alias(f"log_{s}") for s, x in logs.items()))
-    rows = head.unionByName(rest).join(pairs, "pair")
-
-    def learnt(score: str) -> Column:
-        m, own = ("target", True) if score == "own" else (score, False)
-        seen = F.greatest(F.lit(0), F.col(f"seen_{m}") - (F.col("pair_times") if own else F.lit(0)))
-        context = F.greatest(F.lit(0), F.col(f"followed_{m}") - (F.col("context_times") if own else F.lit(0)))
-        kinds = F.col(f"kinds_{m}")
-        # log(seen / P(w) + kinds), in logs: P(w) of a long word may be too small for a double.
-        a, b = F.log(seen.cast("double")) - F.col(f"log_{score}"), F.log(kinds.cast("double"))
-        share = F.when(seen > 0, F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))).otherwise(b)
-        return F.sum(F.when(kinds > 0, share - F.log((context + kinds).cast("double"))).otherwise(0.0)).alias(f"learnt_{score}")
-
-    return rows.groupBy("row_id").agg(*map(learnt, SCORES))
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Spark drops each query's shuffle files when it ends, instead of when the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
@@ -418,51 +575,45 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, head_words:
     spelling, nor its kinds of words). Null and empty texts, and texts without words, have 0 tokens and null scores; repeated
     doc_ids and rows without one stay; without target documents the target model spells words uniformly; an empty table gives
     an empty one; other columns are left out. head_words bounds what is broadcast; the scores don't depend on it. All pairs
-    count, unless CONTEXT_WORDS bounds the words whose followers do. Only texts of the target are shuffled.
+    count, unless CONTEXT_WORDS bounds the words whose followers do. Texts are read three times, the last time to be shuffled
+    to what their block got back; if rows or their order then differ (not those of a table's files), all is done again from a
+    written copy.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with _shuffles_dropped(spark):
+        try:
+            return _scores(docs, target_ids, head_words)
+        except Exception as e:  # Spark's error holds the worker's
+            if REREAD not in str(e):
+                raise
+        return _scores(saved(docs, "documents"), target_ids, head_words)
+
+
+def _scores(docs: DataFrame, target_ids: DataFrame, head_words: int) -> DataFrame:
+    spark = docs.sparkSession
     ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
-    both = marked(docs, saved(target_texts(docs, ids), "target"))
-    counts = saved(count_grams(both), "counts")
+    target, target_path = write_table(target_texts(docs, ids), "target")
+    both = marked(docs, target)
+    counts, counts_path = write_table(count_grams(both), "counts")
     grams = losses(counts.filter("NOT word").select(F.col("key").alias("gram"), *MODELS)).toArrow()
     words = counts.filter("word").select("key", *MODELS)
     totals = words.agg(*(f(m).alias(f"{n}_{m}") for m in MODELS for n, f in (("n", F.sum), ("kinds", lambda c: F.count_if(F.col(c) > 0))))).first()
     totals = {m: (totals[f"n_{m}"] or 0, totals[f"kinds_{m}"]) for m in MODELS}
-    joined = CONTEXT_WORDS is None
     top = np.sort(words.orderBy(F.col("background").desc(), "key").limit(CONTEXT_WORDS or 0).select("key").toArrow()["key"].to_numpy())
     frequent = (F.col("background") >= _least_frequent(words, head_words)) | F.col("key").isin(top.tolist())
-    model = WordModel(grams, words.filter(frequent).toArrow(), totals, top, (np.zeros((0, 1)), np.zeros((0, 1))) if joined else count_pairs(both, top), joined)
+    head = words.filter(frequent).toArrow().sort_by([("background", "descending"), ("key", "ascending")])
+    drop_table(spark, counts_path)
+    lists = Lists(head["key"].to_numpy(), head["background"].to_numpy(), totals["background"][0] + totals["target"][0], CONTEXT_WORDS is None)
     numbered = docs.withColumn("row_id", F.monotonically_increasing_id())
-    scored = saved(numbered.mapInArrow(_score(spark.sparkContext.broadcast(model)), _SCORED), "scored")
-    found = scored.filter("word IS NOT NULL").drop("log_target", "log_background", "log_own").join(words.filter(~frequent).withColumnRenamed("key", "word"), "word")
-
-    def loss(k: int, own: bool) -> Column:
-        """The same sum of two probabilities as for frequent words, in logs, without what all words are divided by."""
-        count = F.greatest(F.lit(0), F.col(MODELS[k]) - (F.col("times") if own else F.lit(0)))
-        seen, spelled = F.log(count.cast("double")), F.lit(model.log_kinds(k)) - F.col(f"spelled_{MODELS[k]}")
-        both = F.greatest(seen, spelled) + F.log1p(F.exp(-F.abs(seen - spelled)))
-        return -F.when(count > 0, both).otherwise(spelled)
-
-    which = {"target": (0, False), "background": (1, False), "own": (0, True)}
-
-    def divided(score: str) -> Column:
-        """The log of what all of a text's words are divided by."""
-        k, own = which[score]
-        words = F.greatest(F.lit(0), F.lit(model.words[k]) - (F.col("n_tokens") if own else F.lit(0))) + model.kinds[k]
-        return F.log(words.cast("double")) if model.kinds[k] else F.lit(0.0)
-
-    rest = found.groupBy("row_id").agg(*(F.sum(loss(*which[s])).alias(f"rest_{s}") for s in SCORES), F.count("*").alias("n_rest"))
-    target = ids.withColumn("in_target", F.lit(True))
-    rows = scored.filter("word IS NULL AND pair IS NULL").join(rest, "row_id", "left").join(target, "doc_id", "left")
-    if joined:
-        rows = rows.join(_followed(scored, found, {s: -loss(*which[s]) - divided(s) for s in SCORES}, pair_counts(both)), "row_id", "left")
+    returned, contexts = block_sums(numbered.select("row_id", "doc_id", "text"), target, lists)
+    dense = count_pairs(both, top) if len(top) else (np.zeros((0, 1)), np.zeros((0, 1)))
+    drop_table(spark, target_path)
+    model = spark.sparkContext.broadcast(WordModel(grams, head, totals, lists, contexts, top, dense))
+    blocks = numbered.select("row_id", "doc_id", "text").mapInArrow(_with_block, "block long, row_id long, doc_id long, text string").drop("row_id")
+    scored = saved(blocks.groupBy("block").cogroup(returned.groupBy("block")).applyInArrow(_score_block(model), _SCORED), "scored")
+    rows = scored.join(ids.withColumn("in_target", F.lit(True)), "doc_id", "left")
     n = F.when(F.col("n_tokens") > 0, F.col("n_tokens"))
-
-    def mean(score: str) -> Column:
-        learnt = F.coalesce(f"learnt_{score}", F.lit(0.0)) if joined else F.lit(0.0)
-        return (F.col(f"sum_{score}") + F.coalesce(f"rest_{score}", F.lit(0.0)) + F.coalesce("n_rest", F.lit(0)) * divided(score) - learnt) / n
-
-    ce = [F.when(F.col("in_target"), mean("own")).otherwise(mean("target")), mean("background")]
+    ce = [F.when(F.col("in_target"), F.col("sum_own")).otherwise(F.col("sum_target")) / n, F.col("sum_background") / n]
     return rows.select("doc_id", "n_tokens", *(c.alias(f"ce_{m}") for c, m in zip(ce, MODELS, strict=True)), (ce[0] - ce[1]).alias("ce_difference"))

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -10,6 +11,7 @@ import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -440,6 +442,58 @@ def test_cross_entropy_counts_all_pairs(spark, sample, head, targets):
             assert found[k]["ce_target"] == pytest.approx(a, abs=1e-5) and found[k]["ce_background"] == pytest.approx(b, abs=1e-5)
 
 
+@pytest.mark.parametrize("head", [lm.HEAD_WORDS, 20, 0])
+def test_cross_entropy_sums_many_buckets(spark, sample, head, monkeypatch):
+    """Pairs dealt over many buckets, those of a frequent word over several; texts without words in blocks of their own."""
+    monkeypatch.setattr(lm, "BUCKET_PAIRS", 5)
+    texts = [*("" if k % 7 == 0 else t[:200] for k, (_, t) in enumerate(sample[:40])), "a a a b a a", "a a"]
+    chosen = [k % 3 == 0 for k in range(len(texts))]
+    target = spark.createDataFrame([(k,) for k, c in enumerate(chosen) if c], "doc_id long")
+    found = by_id(lm.cross_entropy_difference(docs_of(spark, texts).repartition(len(texts), "doc_id").localCheckpoint(), target, head))
+    assert set(found) == set(range(len(texts)))
+    for k, (t, (a, b)) in enumerate(zip(texts, plain_lm(texts, chosen, None), strict=True)):
+        if t:
+            assert found[k]["ce_target"] == pytest.approx(a, abs=1e-5) and found[k]["ce_background"] == pytest.approx(b, abs=1e-5)
+
+
+def test_cross_entropy_writes_little(spark, monkeypatch):
+    """All tables that op5 writes, and its shuffles, against the documents it reads."""
+    written, write = [], common.write_table
+
+    def recorded(df, name="t", **options):
+        out, path = write(df, name, **options)
+        written.append(sum(f.stat().st_size for f in Path(path.removeprefix("file://")).glob("*.parquet")))
+        return out, path
+
+    for module in (common, lm):
+        monkeypatch.setattr(module, "write_table", recorded, raising=False)
+    stages = lambda: {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in stages_of(spark)}
+    before = stages()
+    assert queries.op5_cross_entropy(spark, "/root/testdata/sf0.01").count() == spark.read.parquet("/root/testdata/sf0.01/documents.parquet").count()
+    shuffled = sum(n for k, n in stages().items() if k not in before)
+    size = Path("/root/testdata/sf0.01/documents.parquet").stat().st_size
+    assert written and sum(written) < 3 * size, (sum(written) / size, shuffled / size)
+    assert shuffled < 6 * size, (sum(written) / size, shuffled / size)
+
+
+def stages_of(spark):
+    found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return [found.apply(k) for k in range(found.size())]
+
+
+def test_cross_entropy_of_rows_that_change(spark, sample, monkeypatch):
+    """Rows that differ when read again are written first; then all scores are of the same texts."""
+    names, write = [], lm.saved
+    monkeypatch.setattr(lm, "saved", lambda df, name="t": (names.append(name), write(df, name))[1])
+    texts = [t[:200] for _, t in sample[:30]]
+    added = F.udf(lambda _: os.urandom(8).hex(), "string").asNondeterministic()("doc_id")
+    changing = docs_of(spark, texts).withColumn("text", F.concat("text", F.lit(" "), added))
+    found = by_id(lm.cross_entropy_difference(changing, spark.createDataFrame([(1,)], "doc_id long")))
+    assert names.count("documents") == 1
+    assert {k: r["n_tokens"] for k, r in found.items()} == {k: len(t.split()) + 1 for k, t in enumerate(texts)}
+    assert all(math.isfinite(r["ce_difference"]) for r in found.values())
+
+
 def test_cross_entropy_separates_held_out_labels(spark):
     """The area under the curve of -ce_difference for quality, on labelled documents that the target doesn't hold."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
