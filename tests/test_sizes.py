@@ -4,11 +4,11 @@ import random
 
 from pyspark.sql import functions as F
 
-from gondola.operators import promos
+from gondola.operators import baskets, promos
 
 
-def most_rows(df):
-    """Run a table's plan; the most rows that one of its operators makes."""
+def most_rows(df, metric="numOutputRows"):
+    """Run a table's plan; the most rows that one of its operators makes (or writes to a shuffle: shuffleRecordsWritten)."""
     df.collect()
     most, todo = 0, [df._jdf.queryExecution().executedPlan()]
     while todo:
@@ -18,7 +18,7 @@ def most_rows(df):
             todo.append(node.executedPlan())
         elif name.endswith("QueryStageExec"):
             todo.append(node.plan())
-        rows = node.metrics().get("numOutputRows")
+        rows = node.metrics().get(metric)
         if rows.isDefined():
             most = max(most, rows.get().value())
         children = node.children()
@@ -56,3 +56,23 @@ def test_lists_meet_only_stores_with_offers(spark):
     got = {(r["list_id"], r["chain"]): (r["total_with_promos"], r["store_key"], r["total_list"], r["items_on_promo"], r["valid_until"]) for r in found.collect()}
     assert got == {k: (r[0], *r[2:]) for k, r in want.items()} and any(r[3] for r in got.values()) and not all(r[3] for r in got.values())
     assert most_rows(found) < 6000
+
+
+def test_zones_are_met_after_the_last_shuffle(spark):
+    """40 zones and 100 lists: quotes as by asking each zone's chains, and no shuffle of more rows than the lists have."""
+    rng = random.Random(81)
+    prices = {(f"p{k}", c): float(rng.randint(20, 60)) for k in range(30) for c in "abcdef" if rng.random() < 0.6}
+    lists = {k: {f"p{i}": rng.choice([0, 1, 3, 120, None]) for i in rng.sample(range(32), rng.randint(1, 6))} for k in range(100)}
+    zones = {f"z{k}": rng.sample("abcdefg", rng.randint(1, 3)) for k in range(40)} | {"none": ["g"]}
+    asked = spark.createDataFrame([(k, *i) for k, items in lists.items() for i in items.items()], "list_id int, product_id string, quantity int")
+    found = baskets.quote_lists_in_zone(asked, _same(spark, [(*k, v) for k, v in prices.items()]), spark.createDataFrame([(z, c) for z, cs in zones.items() for c in cs], "zone_id string, chain string"))
+    want = {}
+    for k, items in lists.items():
+        for z, chains in zones.items():
+            every = {p for p in items if any((p, c) in prices for c in chains)}
+            for c in chains:
+                own = [p for p in items if (p, c) in prices]
+                if own:
+                    want[k, z, c] = (sum(prices[p, c] * min(99, max(1, items[p] or 1)) for p in own), len(own), len(own) == len(every), sorted(every - {*own}))
+    assert {(r["list_id"], r["zone_id"], r["chain"]): (r["total"], r["priced"], r["complete"], r["missing"]) for r in found.collect()} == want
+    assert most_rows(found, "shuffleRecordsWritten") <= sum(map(len, lists.values())) < len(want)
