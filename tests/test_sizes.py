@@ -1,10 +1,11 @@
 """Jobs whose rows must not grow with the square of their input: results against plain versions, and rows that plans make."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
 
-from gondola.operators import baskets, promos
+from gondola.operators import baskets, dims, promos
 
 
 def most_rows(df, metric="numOutputRows"):
@@ -76,3 +77,34 @@ def test_zones_are_met_after_the_last_shuffle(spark):
                     want[k, z, c] = (sum(prices[p, c] * min(99, max(1, items[p] or 1)) for p in own), len(own), len(own) == len(every), sorted(every - {*own}))
     assert {(r["list_id"], r["zone_id"], r["chain"]): (r["total"], r["priced"], r["complete"], r["missing"]) for r in found.collect()} == want
     assert most_rows(found, "shuffleRecordsWritten") <= sum(map(len, lists.values())) < len(want)
+
+
+def test_doubted_stores_meet_few_clean_ones(spark):
+    """600 doubted stores at 40 spots among 600 clean ones: provinces and localities as from all pairs, far fewer of which meet."""
+    rng = random.Random(5)
+    spots = [(-34.6 + rng.uniform(-0.4, 0.4), -58.4 + rng.uniform(-0.4, 0.4)) for _ in range(40)] + [(-30.0, -60.0)]
+    places = [(-34.6 + rng.uniform(-0.4, 0.4), -58.4 + rng.uniform(-0.4, 0.4), rng.choice(["AR-B", "AR-B", "AR-X"])) for _ in range(300)]
+    doubted = [(f"d{k}", *spots[k % 41], rng.choice([("AR-C", "Uno"), ("x", "Uno"), ("AR-B", "Cordoba"), ("AR-B", "Salta")])) for k in range(600)]
+    clean = [(f"c{k}", *places[k % 300][:2], (places[k % 300][2], f"Lugar {k % 300}")) for k in range(600)]
+    columns = "company_id string, banner_id string, store_id string, name string, type string, street string, number string, neighbourhood string, locality string, province string, postcode string, lat double, lon double"
+    stores = spark.createDataFrame([("1", "1", s, s, "t", "c", "1", None, loc, prov, "0", lat, lon) for s, lat, lon, (prov, loc) in doubted + clean], columns)
+    found = dims.store_dimension(stores, stores.select("company_id", "store_id", "neighbourhood"))
+
+    def km(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        return 2 * 6371.0088 * math.asin(math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2))
+
+    named, want = {"Cordoba": "AR-X", "Salta": "AR-A"}, {s: p for s, _, _, p in clean}
+    for s, lat, lon, (prov, loc) in doubted:
+        near = min(((r[2] != named.get(loc), round(km(lat, lon, *r[:2]), 9), r[2], f"Lugar {k}") for k, r in enumerate(places) if km(lat, lon, *r[:2]) <= 50), default=None)
+        want[s] = (prov, loc) if near is None else (near[2], near[3] if loc in named else loc)
+    assert {r["store_id"]: (r["province"], r["locality"]) for r in found.collect()} == want
+
+
+def test_spots_leave_the_rings(spark, monkeypatch):
+    """What the nearest search hands to the radius joins: spots, not stores, and fewer from ring to ring."""
+    met, plain = [], dims.within_km
+    monkeypatch.setattr(dims, "within_km", lambda points, places, km, **more: met.append((points.count(), places.count())) or plain(points, places, km, **more))
+    stores = spark.range(3000).selectExpr("'1' AS company_id", "'1' AS banner_id", "CAST(id AS STRING) AS store_id", "'n' AS name", "'t' AS type", "'c' AS street", "'1' AS number", "CAST(NULL AS STRING) AS neighbourhood", "concat('L', id % 5) AS locality", "CASE WHEN id % 2 = 0 THEN 'AR-C' ELSE 'AR-B' END AS province", "'0' AS postcode", "-34.6 + (id % 20) * 0.01D AS lat", "-58.4 + (id % 13) * 0.01D AS lon")
+    assert dims.store_dimension(stores, stores.select("company_id", "store_id", "neighbourhood")).filter("province = 'AR-B'").count() == 3000
+    assert met and met[0] == (130, 130) and all(points <= 130 for points, _ in met)
