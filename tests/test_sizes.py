@@ -3,13 +3,15 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from gondola.operators import baskets, dims, promos
+from gondola.operators import baskets, catalog, dims, promos
 
 
-def most_rows(df, metric="numOutputRows"):
-    """Run a table's plan; the most rows that one of its operators makes (or writes to a shuffle: shuffleRecordsWritten)."""
+def most_rows(df, metric="numOutputRows", kind=""):
+    """Run a table's plan; the most rows that one of its operators (of a kind) makes (or writes to a shuffle:
+    shuffleRecordsWritten)."""
     df.collect()
     most, todo = 0, [df._jdf.queryExecution().executedPlan()]
     while todo:
@@ -20,7 +22,7 @@ def most_rows(df, metric="numOutputRows"):
         elif name.endswith("QueryStageExec"):
             todo.append(node.plan())
         rows = node.metrics().get(metric)
-        if rows.isDefined():
+        if rows.isDefined() and name.startswith(kind):
             most = max(most, rows.get().value())
         children = node.children()
         todo += [children.apply(k) for k in range(children.size())]
@@ -108,3 +110,20 @@ def test_spots_leave_the_rings(spark, monkeypatch):
     stores = spark.range(3000).selectExpr("'1' AS company_id", "'1' AS banner_id", "CAST(id AS STRING) AS store_id", "'n' AS name", "'t' AS type", "'c' AS street", "'1' AS number", "CAST(NULL AS STRING) AS neighbourhood", "concat('L', id % 5) AS locality", "CASE WHEN id % 2 = 0 THEN 'AR-C' ELSE 'AR-B' END AS province", "'0' AS postcode", "-34.6 + (id % 20) * 0.01D AS lat", "-58.4 + (id % 13) * 0.01D AS lon")
     assert dims.store_dimension(stores, stores.select("company_id", "store_id", "neighbourhood")).filter("province = 'AR-B'").count() == 3000
     assert met and met[0] == (130, 130) and all(points <= 130 for points, _ in met)
+
+
+def test_sets_of_many_stores(monkeypatch):
+    """3000 stores with few of 18 items each: a small share of the pairs and threes is costed, with all pairs in a matrix or not."""
+    rng = np.random.default_rng(84)
+    cost = np.round(rng.uniform(50, 150, (3000, 18)), 2)
+    cost[rng.random(cost.shape) < 0.87] = np.inf
+    km, found = np.round(rng.uniform(0, 10, 3000), 3), []
+    seen: list[int] = []
+    best = baskets.best_sets(cost, km, 3, seen)
+    assert sum(seen) < 3000 * 2999 * 2998 / 6 / 1000
+    # Of stores with most items, where plain search is possible, the same.
+    few = np.argsort(-np.isfinite(cost).sum(axis=1), kind="stable")[:150]
+    for most in (1024, 0):
+        monkeypatch.setattr(baskets, "_ALL_PAIRS", most)
+        found.append(baskets.best_sets(cost[few], km[few], 3))
+    assert found[0] == found[1] and all(best[k][:2] <= found[0][k][:2] for k in best)
