@@ -127,3 +127,11 @@ def test_sets_of_many_stores(monkeypatch):
         monkeypatch.setattr(baskets, "_ALL_PAIRS", most)
         found.append(baskets.best_sets(cost[few], km[few], 3))
     assert found[0] == found[1] and all(best[k][:2] <= found[0][k][:2] for k in best)
+
+
+def test_plans_are_made_once(spark):
+    """What reads the plans three times reads a table, and doesn't search three times."""
+    plans = spark.range(2).selectExpr("CAST(id AS STRING) AS basket_id", "1 AS k").groupBy("basket_id").applyInPandas(lambda rows: rows.assign(stores=[[{"id": "s", "distance": 1.0, "equivalents": 0, "subtotal": 5.0, "items": ["a", "b"]}]], total=5.0, covered=2, distance_sum=1.0), baskets._PLAN)
+    option = baskets.best_option(plans)
+    assert "FlatMapGroups" not in option._jdf.queryExecution().executedPlan().toString()
+    assert [(r["basket_id"], r["total"], r["saving_vs_one"], r["uncovered"]) for r in option.orderBy("basket_id").collect()] == [("0", 5.0, 0.0, []), ("1", 5.0, 0.0, [])]
