@@ -135,3 +135,26 @@ def test_plans_are_made_once(spark):
     option = baskets.best_option(plans)
     assert "FlatMapGroups" not in option._jdf.queryExecution().executedPlan().toString()
     assert [(r["basket_id"], r["total"], r["saving_vs_one"], r["uncovered"]) for r in option.orderBy("basket_id").collect()] == [("0", 5.0, 0.0, []), ("1", 5.0, 0.0, [])]
+
+
+def test_skyline_against_all_pairs():
+    rng = np.random.default_rng(8)
+    for n, items, missing in ((200, 6, 0.4), (200, 20, 0.8), (150, 3, 0.0)):
+        cost = np.round(rng.uniform(1, 9, (n, items)))
+        cost[rng.random(cost.shape) < missing] = np.inf
+        cost, km = np.unique(cost, axis=0), np.round(rng.uniform(0, 5, n), 1)
+        km = km[: len(cost)]
+        want = [i for i in range(len(km)) if ((km <= km[i]) & (cost <= cost[i]).all(axis=1)).sum() == 1]
+        assert baskets._skyline(cost, km).tolist() == want
+
+
+def test_equal_stores_of_a_place_meet_points_as_one(spark):
+    """500 stores of two costs at two places, 20 points: the plans name the nearest and count its equals; rows stay few."""
+    shops = [(str(k), "medio", f"c{i}", "g", 1.0 + (k % 2), -34.6 + 0.02 * (k % 2), -58.4) for k in range(500) for i in range(2)]
+    prices = spark.createDataFrame([("1", s, c, t, u, v, lat, lon) for s, t, c, u, v, lat, lon in shops], "company_id string, store_id string, category string, tier string, unit string, median_unit_price double, lat double, lon double")
+    wanted = spark.createDataFrame([(str(b), f"c{i}", "medio", "g", 10.0) for b in range(20) for i in range(2)], "basket_id string, category string, tier string, unit string, quantity double")
+    points = spark.createDataFrame([(str(b), -34.6 + 0.0001 * b, -58.4, 2) for b in range(20)], "basket_id string, lat double, lon double, max_stores int")
+    plans = baskets.best_store_combinations(wanted, points, prices)
+    rows = plans.collect()
+    assert len(rows) == 40 and {(r["total"], r["covered"], r["stores"][0]["id"], r["stores"][0]["equivalents"]) for r in rows} == {(20.0, 2, "1-0", 249)}
+    assert most_rows(plans) <= 500
