@@ -112,6 +112,14 @@ def test_spots_leave_the_rings(spark, monkeypatch):
     assert met and met[0] == (130, 130) and all(points <= 130 for points, _ in met)
 
 
+def test_products_are_not_broadcast(spark):
+    """4000 products whose index is a small file: of the search's plan only questions and their words are broadcast."""
+    products = spark.range(4000).selectExpr("CAST(id AS STRING) AS product_id", "concat('articulo ', id % 7) AS description", "'m' AS brand", "'' AS search_text", "'Cosas' AS category", "CAST(NULL AS DOUBLE) AS qty", "CAST(NULL AS STRING) AS unit", "1L AS chains")
+    found = catalog.bulk_search(spark.createDataFrame([("q", "articulo 3"), ("r", "cosas 5")], "query_id string, text string"), products, 2)
+    assert sorted((r["query_id"], r["rank"], r["product_id"]) for r in found.collect()) == [("q", 1, "10"), ("q", 2, "1004"), ("r", 1, "1006"), ("r", 2, "1013")]
+    assert most_rows(found, kind="BroadcastExchange") <= 10
+
+
 def test_sets_of_many_stores(monkeypatch):
     """3000 stores with few of 18 items each: a small share of the pairs and threes is costed, with all pairs in a matrix or not."""
     rng = np.random.default_rng(84)
